@@ -4,8 +4,8 @@ One-permutation hashing with optimal densification gives each set of five-word s
 bucket keys. Rows with equal sets are one representative from there on. In a bucket every member is paired with the
 member of the smallest id only (a star), and the pairs are confirmed on full shingle sets. Links that a star leaves open
 (two members that are linked with each other but not with the centre) are found in the buckets whose members are still in
-different components: those are compared in blocks, signature against signature, and only pairs whose signatures do not
-rule out the threshold are confirmed on full sets. So pairs are linear in the bucket sizes but for what may be linked.
+different components: those are compared in blocks, first signature against signature, then, for members with a partner whose
+signature allows the threshold, on full sets. Blocks are bounded and give members and links, never their pairs.
 
 Edge cases: null text counts as empty; a text without words has an empty set, n_shingles 0, and is linked with nothing; a
 text of one to four words is one shingle; repeated rows of one doc_id are linked through their sets; an empty table gives
@@ -35,7 +35,7 @@ BINS, BANDS, ROWS = 256, 32, 4
 #: Similarity in per cent at which documents are linked.
 PERCENT = 75
 #: Members of a block in the comparison of what the stars leave open.
-BLOCK = 256
+BLOCK = 1024
 SCREEN_SIGMAS = 4.5
 
 
@@ -86,30 +86,58 @@ def confirmed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([b["a"], b["b"]], ["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
 
-def screened(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Pairs of each group (bucket, block, block) in different components whose signatures allow the threshold; a pair
-    that shares several buckets comes from the first of them only."""
+def block_pairs(t: pa.Table) -> Iterator[tuple[int, np.ndarray]]:
+    """For rows of whole groups (bucket, block, block): a row and those rows of its group in other components, of a size and
+    a signature that allow the threshold. A pair that shares several buckets comes from the first of them only."""
     share = PERCENT / 100
     least = math.ceil(BINS * (share - SCREEN_SIGMAS * math.sqrt(share * (1 - share) / BINS)))
+    key, low, high, block, ids, comp, size = (t[c].to_numpy() for c in ("key", "low", "high", "block", "rep", "comp", "n_shingles"))
+    sig = np.stack([np.frombuffer(x, np.uint16) for x in t["sig"].to_pylist()])
+    bands = np.array(t["bands"].to_pylist(), dtype=np.int64)
+    change = np.flatnonzero((key[1:] != key[:-1]) | (low[1:] != low[:-1]) | (high[1:] != high[:-1])) + 1
+    for i, j in zip([0, *change.tolist()], [*change.tolist(), len(key)], strict=True):
+        at = np.arange(i, j)
+        left, right = at[block[i:j] == low[i]], at[block[i:j] == high[i]]
+        for x in left.tolist():
+            y = right[(comp[right] != comp[x]) & ((ids[right] > ids[x]) if low[i] == high[i] else True)]
+            y = y[100 * np.minimum(size[y], size[x]) >= PERCENT * np.maximum(size[y], size[x])]
+            if len(y):
+                y = y[(sig[y] == sig[x]).sum(axis=1) >= least]
+            if len(y):
+                same = bands[y] == bands[x]
+                y = y[bands[x][same.argmax(axis=1)] == key[i]]
+            if len(y):
+                yield x, y
+
+
+def screened(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The rows of each group that have a partner left; rows and not pairs, so no more come out than go in."""
+    for t in runs(batches, ["key", "low", "high"]):
+        keep = np.zeros(t.num_rows, dtype=bool)
+        for x, y in block_pairs(t):
+            keep[x] = keep[y] = True
+        yield from t.select(["key", "low", "high", "block", "rep", "comp"]).filter(pa.array(keep)).to_batches()
+
+
+def linked_in_blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Links between components, confirmed on full sets; of those of a batch that would close a circle, none."""
     for t in runs(batches, ["key", "low", "high"]):
-        key, low, high, block, ids, comp = (t[c].to_numpy() for c in ("key", "low", "high", "block", "rep", "comp"))
-        sig = np.stack([np.frombuffer(x, np.uint16) for x in t["sig"].to_pylist()])
-        bands = np.array(t["bands"].to_pylist(), dtype=np.int64)
-        size = t["n_shingles"].to_numpy()
-        change = np.flatnonzero((key[1:] != key[:-1]) | (low[1:] != low[:-1]) | (high[1:] != high[:-1])) + 1
-        out: list[tuple[int, int]] = []
-        for i, j in zip([0, *change.tolist()], [*change.tolist(), len(key)], strict=True):
-            at = np.arange(i, j)
-            left, right = at[block[i:j] == low[i]], at[block[i:j] == high[i]]
-            for x in left.tolist():
-                y = right[(comp[right] != comp[x]) & ((ids[right] > ids[x]) if low[i] == high[i] else True)]
-                y = y[100 * np.minimum(size[y], size[x]) >= PERCENT * np.maximum(size[y], size[x])]
-                if len(y):
-                    y = y[(sig[y] == sig[x]).sum(axis=1) >= least]
-                if len(y):
-                    same = bands[y] == bands[x]
-                    y = y[bands[x][same.argmax(axis=1)] == key[i]]
-                    out += [(min(int(ids[x]), int(ids[k])), max(int(ids[x]), int(ids[k]))) for k in y]
+        ids, comp = t["rep"].to_numpy().tolist(), t["comp"].to_numpy().tolist()
+        sets = [np.frombuffer(x, np.uint64) for x in t["shingles"].to_pylist()]
+        root: dict[int, int] = {}
+
+        def find(x: int) -> int:
+            while root.get(x, x) != x:
+                x = root[x]
+            return x
+
+        out = []
+        for x, ys in block_pairs(t):
+            for y in ys.tolist():
+                a, b = find(comp[x]), find(comp[y])
+                if a != b and linked(sets[x], sets[y]):
+                    root[max(a, b)] = min(a, b)
+                    out.append((ids[x], ids[y]))
         yield pa.RecordBatch.from_arrays([pa.array([p[0] for p in out], pa.int64()), pa.array([p[1] for p in out], pa.int64())], ["a", "b"])
 
 
@@ -157,9 +185,11 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     left = inside.join(open_keys, "key").withColumn("blocks", F.ceil(F.col("n") / BLOCK).cast("int")).withColumn("block", F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int"))
     dealt = left.select("key", "rep", "comp", "block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"))
     dealt = dealt.select("key", F.least("block", "other").alias("low"), F.greatest("block", "other").alias("high"), "block", "rep", "comp")
-    dealt = dealt.join(reps.select("rep", "n_shingles", "bands", "sig"), "rep")
-    dealt = dealt.repartition("key", "low", "high").sortWithinPartitions("key", "low", "high", "rep")
-    more = cut(confirm(in_arrow(dealt, screened, "a long, b long").distinct(), sets), "links")
+    grouped = lambda df: df.repartition("key", "low", "high").sortWithinPartitions("key", "low", "high", "rep")
+    signature = reps.select("rep", "n_shingles", "bands", "sig")
+    near = cut(in_arrow(grouped(dealt.join(signature, "rep")), screened, "key long, low int, high int, block int, rep long, comp long"), "open")
+    near = near.join(signature, "rep").join(sets.withColumnRenamed("id", "rep"), "rep")
+    more = cut(in_arrow(grouped(near), linked_in_blocks, "a long, b long"), "links")
     if more.limit(1).count():
         comps = cut(components(links.union(more)), "components")
     named = reps.select("set_key", "rep").join(comps.withColumnRenamed("id", "rep"), "rep", "left").select("set_key", F.coalesce("comp", "rep").alias("comp"))
