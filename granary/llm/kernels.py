@@ -132,3 +132,25 @@ def band_keys(sig: np.ndarray, rows: int) -> np.ndarray:
     for j in range(rows):
         h = mix((h ^ bands[:, :, j]) + GOLD)
     return h
+
+
+LETTER = np.zeros(256, dtype=bool)
+LETTER[65:91] = LETTER[97:123] = LETTER[128:] = True
+
+
+def letters(data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Lower-cased bytes (A-Z and Latin-1 letters), and which of them belong to words: letters, not general punctuation."""
+    low = K.LOWER[data]
+    word = LETTER[data]
+    if len(data) > 2:
+        latin = (data[:-1] == 0xC3) & (data[1:] >= 0x80) & (data[1:] <= 0x9E) & (data[1:] != 0x97)
+        low[1:][latin] += 0x20
+        punct = np.flatnonzero((data[:-2] == 0xE2) & (data[1:-1] == 0x80))
+        word[punct] = word[punct + 1] = word[punct + 2] = False
+    return low, word
+
+
+def letter_words(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Lower-cased bytes, and starts, ends and first word as word_spans() gives them, of the runs of letters."""
+    low, word = letters(data)
+    return low, *word_spans(np.where(word, np.uint8(97), np.uint8(32)), offsets)
