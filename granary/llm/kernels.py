@@ -140,7 +140,7 @@ LETTER[65:91] = LETTER[97:123] = LETTER[128:] = True
 
 def letters(data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Lower-cased bytes (A-Z and Latin-1 letters), and which of them belong to words: letters, not general punctuation."""
-    low = K.LOWER[data]
+    low = LOWER[data]
     word = LETTER[data]
     if len(data) > 2:
         latin = (data[:-1] == 0xC3) & (data[1:] >= 0x80) & (data[1:] <= 0x9E) & (data[1:] != 0x97)
