@@ -2,5 +2,8 @@
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-ORACLES: dict = {}
+from granary.plans import quality, retrieval
+
+_REGISTRIES = (quality.query, retrieval.query)
+QUERIES = {k: f for r in _REGISTRIES for k, f in r.queries.items()}
+ORACLES = {k: s for r in _REGISTRIES for k, s in r.oracles.items()}
