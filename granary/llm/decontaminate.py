@@ -4,7 +4,8 @@ Passages of PASSAGE words of all documents are TF-IDF vectors over FEATURES hash
 the words' passages; a second sums A'(A Omega) for a random Omega over all passages, from which the driver has the leading
 singular space (Nystrom form of the randomised SVD; its matrices are FEATURES x WIDTH whatever the corpus). A third pass
 projects windows of every length class of the benchmark, at a stride of a third of their length, over whole texts, and takes
-those whose cosine with an item is at least COSINE as candidates. A candidate stands if the longest common subsequence of
+those whose cosine with an item is at least COSINE as candidates; words that no item has count as nothing in a window, and an
+item whose words all are too common for a weight has every window as a candidate. A candidate stands if the longest common subsequence of
 words has CERTAIN of the item's words, or LIKELY of them with ANSWER of its answer's (its last sentence), which holds for paraphrases.
 
 Edge cases: null and empty texts match nothing; items without words are left out; items of the same id are matched each;
@@ -30,7 +31,7 @@ from .common import cut, in_arrow, texts
 FEATURES, WIDTH, RANK, PASSAGE = 1 << 15, 40, 36, 48
 #: Features in more than this share of passages have no weight.
 COMMON = 0.04
-COSINE, SHARED, CERTAIN, LIKELY, ANSWER = 0.45, 0.4, 0.7, 0.5, 0.6
+COSINE, SHARED, CERTAIN, LIKELY, ANSWER = 0.4, 0.4, 0.7, 0.5, 0.6
 BLOCK, CHUNK_WORDS = 512, 40_000
 LENGTHS = [8, 12, 18, 27, 40, 60, 90, 135, 200, 300, 450, 675, 1000]
 
@@ -175,7 +176,7 @@ class Searcher:
 
     def __init__(self, items: list[Item], idf: np.ndarray, space: np.ndarray):
         self.items = items
-        self.table = space * idf[:, None]
+        self.table = np.concatenate([space * idf[:, None], np.zeros((1, space.shape[1]), np.float32)])
         self.has = np.zeros((len(items), 1 << 16), dtype=bool)
         for i, x in enumerate(items):
             self.has[i, [w >> 48 for w in x.words]] = True
@@ -184,6 +185,8 @@ class Searcher:
             self.classes.setdefault(min(LENGTHS, key=lambda n: abs(np.log(n / len(x.words)))), []).append(i)
         feature = lambda x: np.array([w & (FEATURES - 1) for w in x.words])
         vectors = np.stack([self.table[feature(x)].sum(axis=0) for x in items])
+        self.known = np.unique(np.array([w for x in items for w in x.words], dtype=np.uint64))
+        self.blank = np.linalg.norm(vectors, axis=1) <= 1e-9
         self.vectors = (vectors / np.maximum(np.linalg.norm(vectors, axis=1), 1e-12)[:, None]).astype(np.float32)
 
     def find(self, data: np.ndarray, offsets: np.ndarray) -> list[tuple[int, int, float, float, float]]:
@@ -203,7 +206,8 @@ class Searcher:
         first = first - first[0]
         if not len(h):
             return
-        x = self.table[(h & np.uint64(FEATURES - 1)).astype(np.int32)]
+        at = np.minimum(np.searchsorted(self.known, h), len(self.known) - 1)
+        x = self.table[np.where(self.known[at] == h, (h & np.uint64(FEATURES - 1)).astype(np.int32), FEATURES)]
         total = np.concatenate([np.zeros((1, x.shape[1]), np.float32), np.cumsum(x, axis=0, dtype=np.float64).astype(np.float32)])
         high = (h >> np.uint64(48)).astype(np.int32)
         n = np.diff(first)
@@ -216,7 +220,7 @@ class Searcher:
             end = np.minimum(start + length, first[text + 1])
             v = total[end] - total[start]
             norm = np.sqrt(np.einsum("ij,ij->i", v, v))
-            hit, item = np.nonzero(v @ self.vectors[members].T >= COSINE * np.maximum(norm, 1e-12)[:, None])
+            hit, item = np.nonzero((v @ self.vectors[members].T >= COSINE * np.maximum(norm, 1e-12)[:, None]) | self.blank[members])
             if not len(hit):
                 continue
             item = np.array(members)[item]
@@ -226,7 +230,7 @@ class Searcher:
                 sizes = np.array([len(self.items[j].words) for j in members]).min()
                 near = self.has[it[:, None], high[at]].sum(axis=1) >= SHARED * min(sizes, length)
                 for w, j in zip(hi[near].tolist(), it[near].tolist(), strict=True):
-                    self.confirm(h, first, int(text[w]), int(start[w]), int(end[w]), j, float(v[w] @ self.vectors[j] / norm[w]), a, best)
+                    self.confirm(h, first, int(text[w]), int(start[w]), int(end[w]), j, float(v[w] @ self.vectors[j] / max(norm[w], 1e-12)), a, best)
 
     def confirm(self, h, first, text: int, start: int, end: int, j: int, cosine: float, a: int, best: dict) -> None:
         item = self.items[j]
@@ -236,7 +240,8 @@ class Searcher:
         if share < LIKELY:
             return
         answer = common_length(item.answer, region) / len(item.answer)
-        if (share >= CERTAIN or answer >= ANSWER) and (share, answer, cosine) > best.get((a + text, j), (0.0, 0.0, 0.0))[1:] + (0.0,):
+        held = best.get((a + text, j), (0.0, 0.0, 0.0))
+        if (share >= CERTAIN or answer >= ANSWER) and (share, answer, cosine) > (*held[1:], held[0]):
             best[a + text, j] = (cosine, share, answer)
 
 
