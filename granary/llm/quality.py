@@ -157,7 +157,7 @@ def grow(x: np.ndarray, y: np.ndarray, weight: np.ndarray) -> Forest:
 def fit(items: list[str], labels: list[int], weights: list[float]) -> Forest:
     y, w = np.array(labels, dtype=np.float64), np.array(weights, dtype=np.float64)
     if len(y) and y.min() != y.max():
-        return grow(statistics(*K.flat(pa.array(items, pa.string()))), y, w)
+        return grow(np.concatenate([statistics(*K.flat(pa.array(items[i : i + 500], pa.string()))) for i in range(0, len(items), 500)]), y, w)
     base = 12.0 if len(y) and y[0] else -12.0
     return Forest(base, *(np.zeros(0, int) for _ in range(5)))
 

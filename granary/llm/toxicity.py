@@ -27,7 +27,7 @@ from .common import in_arrow, texts
 from .labelled import held_out, sample
 
 #: Bound of the training sample: rows of each class.
-PER_CLASS = 2000
+PER_CLASS = 1500
 WINDOW, STRIDE = 20, 14
 WORD_DIM = CHAR_DIM = HIDDEN = 8
 GRAMS, LEAST_COUNT = 1 << 14, 3
@@ -223,11 +223,23 @@ class Network:
         return sigmoid(self.document_features(self.logits(w, start, length), bounds) @ self.top)
 
 
-def odds(ids: np.ndarray, docs: np.ndarray, y: np.ndarray, n: int) -> np.ndarray:
-    """Smoothed log odds of being in a text of class 1, for ids that texts hold; 0 for those in fewer than LEAST_COUNT texts."""
-    pairs = np.unique(ids.astype(np.int64) * len(y) + docs)
-    i, label = pairs // len(y), y[pairs % len(y)]
-    one, zero = np.bincount(i, weights=label, minlength=n), np.bincount(i, weights=1 - label, minlength=n)
+def presence(w: Words, y: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Of how many texts of class 0 and 1 each word and each gram is a part (2 x words, 2 x grams); some texts at a time."""
+    words, grams = np.zeros((2, len(w.hashes))), np.zeros((2, GRAMS))
+    counts = np.diff(w.gram_bounds)
+    for i in range(len(y)):
+        mine = np.unique(w.at[w.first[i] : w.first[i + 1]])
+        if len(mine):
+            words[int(y[i]), mine] += 1
+            n = counts[mine]
+            source = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n - w.gram_bounds[mine], n)
+            grams[int(y[i]), np.unique(w.grams[source])] += 1
+    return words, grams
+
+
+def odds(seen: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """Smoothed log odds of being in a text of class 1; 0 for what is in fewer than LEAST_COUNT texts."""
+    zero, one = seen
     value = np.log((one + 0.5) / (y.sum() + 1)) - np.log((zero + 0.5) / (len(y) - y.sum() + 1))
     return np.where(one + zero >= LEAST_COUNT, np.clip(value / 2, -2, 2), 0).astype(np.float32)
 
@@ -248,12 +260,10 @@ def fit(items: list[str], labels: list[int], weights: list[float], rounds: int =
     if len(y) < 2 or y.min() == y.max():
         return None
     w = words_of(*K.flat(pa.array(items, pa.string())))
-    doc = np.repeat(np.arange(len(y)), np.diff(w.first))
-    frequent = np.bincount(np.unique(w.at.astype(np.int64) * len(y) + doc) // len(y), minlength=len(w.hashes)) >= LEAST_COUNT
-    word_odds = odds(w.at, doc, y, len(w.hashes))
-    counts = np.diff(w.gram_bounds)
-    gram_odds = odds(np.concatenate([w.grams[a:b] for a, b in zip(w.gram_bounds[w.at], w.gram_bounds[w.at + 1], strict=True)]) if len(w.at) else w.grams, np.repeat(doc, counts[w.at]), y, GRAMS)
-    net = Network.fresh(w.hashes[frequent], word_odds[frequent], gram_odds)
+    words, grams = presence(w, y)
+    word_odds, counts = odds(words, y), np.diff(w.gram_bounds)
+    frequent = words.sum(axis=0) >= LEAST_COUNT
+    net = Network.fresh(w.hashes[frequent], word_odds[frequent], odds(grams, y))
     start, length, bounds = windows(w.first)
     text = np.repeat(np.arange(len(y)), np.diff(bounds))
     total = np.concatenate([[0], np.cumsum(np.maximum(word_odds[w.at], 0) ** 2)])
