@@ -60,21 +60,14 @@ def shard_bounds(sizes: DataFrame, target: int) -> list[int]:
     return bounds
 
 
-def plan(pages: DataFrame, shard_bytes: int = SHARD_BYTES) -> tuple[DataFrame, int]:
-    """(page_id, shard, refers_to) of every page_id, and the number of shards."""
+def plan(pages: DataFrame, shard_bytes: int = SHARD_BYTES) -> tuple[DataFrame, list[int]]:
+    """(page_id, refers_to) of the pages that refer to another, and the bounds of the shards."""
     payload = F.coalesce(F.col("html").cast("string"), F.lit(""))
     facts = cut(pages.select(F.col("page_id").cast("long").alias("page_id"), F.octet_length(payload).cast("long").alias("payload_bytes"), F.sha2(payload, 256).alias("digest")), "payloads")
-    first = facts.where(F.col("payload_bytes") >= LEAST_REVISIT).groupBy("digest").agg(F.min("page_id").alias("first"), F.count("*").alias("n")).where("n > 1")
-    bounds = shard_bounds(facts.select("page_id", (F.col("payload_bytes") + 512).alias("payload_bytes")), shard_bytes)
-    refs = facts.join(first, (facts["digest"] == first["digest"]) & (F.col("payload_bytes") >= LEAST_REVISIT), "left").select("page_id", F.when(F.col("page_id") > F.col("first"), F.col("first")).alias("refers_to"))
-    edges = np.array(bounds, dtype=np.int64)
-
-    def placed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            shard = np.searchsorted(edges, b["page_id"].fill_null(-(1 << 63)).to_numpy(zero_copy_only=False), side="right")
-            yield pa.RecordBatch.from_arrays([b["page_id"], pa.array(shard, pa.int32()), b["refers_to"]], ["page_id", "shard", "refers_to"])
-
-    return in_arrow(refs.where("page_id IS NOT NULL").dropDuplicates(["page_id"]), placed, "page_id long, shard int, refers_to long"), len(bounds) + 1
+    large = facts.where((F.col("payload_bytes") >= LEAST_REVISIT) & F.col("page_id").isNotNull())
+    first = large.groupBy("digest").agg(F.min("page_id").alias("refers_to"), F.count("*").alias("n")).where("n > 1")
+    refs = large.join(first, "digest").where(F.col("page_id") > F.col("refers_to")).select("page_id", "refers_to").dropDuplicates(["page_id"])
+    return refs, shard_bounds(facts.select("page_id", (F.col("payload_bytes") + 512).alias("payload_bytes")), shard_bytes)
 
 
 def record(page_id: int | None, url: str | None, html: str | None, refers_to: int | None) -> bytes:
@@ -104,10 +97,19 @@ def record(page_id: int | None, url: str | None, html: str | None, refers_to: in
 
 def write(pages: DataFrame, out: str, shard_bytes: int = SHARD_BYTES, file_bytes: int = FILE_BYTES) -> str:
     """Writes the archives and their manifest under out; gives the manifest's path."""
-    placing, shards = plan(pages, shard_bytes)
-    rows = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), F.col("html").cast("string").alias("html"))
-    rows = rows.join(placing, "page_id", "left").withColumn("shard", F.coalesce("shard", F.lit(0)))
-    rows = rows.repartitionById(shards, "shard").sortWithinPartitions("shard", "page_id", "url", "html")
+    refs, bounds = plan(pages, shard_bytes)
+    edges = np.array(bounds, dtype=np.int64)
+
+    def placed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            ids = b["page_id"].fill_null(-(1 << 63)).to_numpy(zero_copy_only=False)
+            yield pa.RecordBatch.from_arrays([pa.array(np.searchsorted(edges, ids, side="right"), pa.int32()), *b.columns], ["shard", *b.schema.names])
+
+    # References come as rows of their own, before their page's, so that whole pages are shuffled once.
+    columns = {"page_id": "long", "url": "string", "html": "string", "refers_to": "long"}
+    rows = pages.select("page_id", "url", "html").unionByName(refs, allowMissingColumns=True).select(*[F.col(c).cast(t).alias(c) for c, t in columns.items()])
+    rows = in_arrow(rows, placed, "shard int, " + ", ".join(f"{c} {t}" for c, t in columns.items()))
+    rows = rows.repartitionById(len(bounds) + 1, "shard").sortWithinPartitions("shard", "page_id", F.desc_nulls_last("refers_to"), "url", "html")
 
     def written(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         fs, root = pafs.FileSystem.from_uri(out)
@@ -115,6 +117,7 @@ def write(pages: DataFrame, out: str, shard_bytes: int = SHARD_BYTES, file_bytes
         shard = seq = -1
         stream = None
         done: list[tuple] = []
+        reference = (None, None)
 
         def close() -> None:
             nonlocal stream
@@ -129,6 +132,10 @@ def write(pages: DataFrame, out: str, shard_bytes: int = SHARD_BYTES, file_bytes
 
         for b in batches:
             for r in b.to_pylist():
+                if r["refers_to"] is not None:
+                    reference = (r["page_id"], r["refers_to"])
+                    continue
+                refers_to = reference[1] if reference[0] == r["page_id"] else None
                 if r["shard"] != shard:
                     close()
                     shard, seq = r["shard"], -1
@@ -136,7 +143,7 @@ def write(pages: DataFrame, out: str, shard_bytes: int = SHARD_BYTES, file_bytes
                     seq += 1
                     temp, count, size, sha = f"{root}/.tmp-{shard}-{seq}-{uuid.uuid4().hex}", 0, 0, hashlib.sha256()
                     stream = fs.open_output_stream(temp, compression=None)
-                member = gzip.compress(record(r["page_id"], r["url"], r["html"], r["refers_to"]), LEVEL, mtime=0)
+                member = gzip.compress(record(r["page_id"], r["url"], r["html"], refers_to), LEVEL, mtime=0)
                 stream.write(member)
                 sha.update(member)
                 count, size = count + 1, size + len(member)
