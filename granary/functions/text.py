@@ -122,8 +122,8 @@ def legible(text: Column) -> Column:
 def components(text: Column) -> Column:
     """kind:match of the electrical components named in a text, sorted (O-57)."""
     low = F.lower(text)
-    found = [F.transform(extract_all(low, "(?i)" + p), lambda m, k=k: F.concat(F.lit(k + ":"), m)) for k, p in COMPONENT_PATTERNS.items()]
-    return F.array_sort(F.array_distinct(F.concat(*found)))
+    named = lambda kind, pattern: F.transform(extract_all(low, "(?i)" + pattern), lambda m: F.concat(F.lit(kind + ":"), m))
+    return F.array_sort(F.array_distinct(F.concat(*[named(k, p) for k, p in COMPONENT_PATTERNS.items()])))
 
 
 def electrical_values(text: Column) -> Column:
@@ -192,8 +192,10 @@ def cleaned_answer(text: Column) -> Column:
 
 
 def linked_urls(text: Column) -> Column:
-    """Addresses as links named by their domain without its last part (O-147)."""
-    return F.regexp_replace(text, r"(https?://([^/\s]+?)\.[a-z]+(?:/[^\s)]*)?)", "[$2]($1)")
+    """Addresses as links named by the words of their domain without the last (O-147)."""
+    urls = F.array_distinct(F.transform(extract_all(text, r"https?://[^\s()]+"), lambda u: F.regexp_replace(u, r"[.,;:!?]+$", "")))
+    name = lambda u: F.initcap(F.replace(F.regexp_extract(u, r"^https?://([^/]*)\.[^./]+(?:/|$)", 1), F.lit("."), F.lit(" ")))
+    return F.aggregate(urls, text, lambda t, u: F.replace(t, u, F.concat(F.lit("["), name(u), F.lit("]("), u, F.lit(")"))))
 
 
 def _indel(a: str, b: str) -> float:
