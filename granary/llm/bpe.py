@@ -2,10 +2,11 @@
 
 A text is cut into chunks after words where a rolling hash of the last WINDOW words meets a fixed pattern, so passages that
 documents share give equal chunks wherever they stand. A worker encodes each distinct chunk once and keeps its ids under a
-128-bit digest; a chunk it has not met is put together from its words, which are kept likewise, where the vocabulary never
-joins tokens over white space, and is encoded whole where it may. Joins between chunks are repaired: the words at a join
-are encoded together, and where that differs from the chunks' own ids the two chunks are encoded as one, until the next
-join agrees. Stores are bounded; when full they start anew, so memory is too.
+128-bit digest. Where the vocabulary never joins tokens over white space, a chunk it has not met is put together from the
+tokenizer's own units (letter runs, digits, marks), of which new ones are encoded in one go and kept likewise, if its
+characters are such that the units are certain; any other chunk is encoded whole. Joins between chunks are repaired: the
+words at a join are encoded together, and where that differs from their ids apart, more is encoded as one, at worst the
+whole text. Stores are bounded and drop what has not been met for longest, so memory is bounded too.
 
 Edge cases: null text counts as empty and gives no ids and an empty decoded text; special strings in a text are handled
 as the library does; repeated rows and ids are encoded each; an empty table gives an empty result; other columns are not
@@ -16,6 +17,7 @@ from __future__ import annotations
 
 import json
 import os
+import re
 from collections.abc import Iterator
 
 import numpy as np
@@ -27,10 +29,13 @@ from pyspark.sql import functions as F
 from . import kernels as K
 from .common import in_arrow, texts
 
-WINDOW, MASK = 4, 63
-WORD_STORE, CHUNK_STORE, JOIN_STORE = 250_000, 12_000, 200_000
-#: Words longer than this are not stored.
+WINDOW, MASK = 4, 255
+UNIT_STORE, CHUNK_STORE, JOIN_STORE = 250_000, 6_000, 200_000
+#: Longer units and words are not stored.
 LONGEST = 64
+#: Characters whose units are certain: ASCII but for the apostrophe, and precomposed Latin letters that are one letter in lower case.
+CERTAIN = re.compile("[ \\t\\n\\r!-&(-~À-ÖØ-öø-įı-ſ]*")
+UNIT = re.compile("[a-zß-öø-įı-ſ]+|[0-9]|[!-/:-@\\[-`{-~]+")
 
 
 def vocabulary(name: str = "word_bpe_49k.json") -> str:
@@ -39,6 +44,26 @@ def vocabulary(name: str = "word_bpe_49k.json") -> str:
     return public_tokenizers.path(name)
 
 
+class Store:
+    """A bounded memory of two generations: what is asked for moves to the new one; when that is full the old one goes."""
+
+    def __init__(self, size: int):
+        self.size = size
+        self.new: dict = {}
+        self.old: dict = {}
+
+    def lacking(self, keys: set) -> list:
+        """Those of keys that neither generation has; the others are in the new one from here on."""
+        keys = keys - self.new.keys()
+        kept = keys & self.old.keys()
+        self.new.update((k, self.old[k]) for k in kept)
+        return list(keys - kept)
+
+    def age(self) -> None:
+        if len(self.new) > self.size:
+            self.old, self.new = self.new, {}
+
+
 class Encoder:
     """Encodes texts with a tokenizer file of the tokenizers library, reusing chunks and words."""
 
@@ -53,9 +78,14 @@ class Encoder:
         self.plain = self.tokenizer.decoder is None
         with open(path) as f:
             self.apart = self.words_stand_apart(json.load(f))
-        self.words: dict[bytes, tuple[bytes, bytes]] = {}
-        self.chunks: dict[bytes, tuple[bytes, bytes]] = {}
-        self.joins: set[tuple[bytes, bytes]] = set()
+        self.ids = Store(UNIT_STORE)
+        self.chunks = Store(CHUNK_STORE)
+        self.joins = Store(JOIN_STORE)
+        vocabulary = self.tokenizer.get_vocab(with_added_tokens=True)
+        self.token = [b""] * (max(vocabulary.values()) + 1)
+        for t, n in vocabulary.items():
+            self.token[n] = t.encode()
+        self.ends = np.array([t.endswith(b"</w>") for t in self.token])
         self.reused = self.encoded = 0
 
     def words_stand_apart(self, spec: dict) -> bool:
@@ -67,26 +97,38 @@ class Encoder:
         stripping = any(t["lstrip"] or t["rstrip"] or t["single_word"] for t in spec.get("added_tokens", []))
         parts = ["don", "'t", "x1", "é", "́a", "ΑΣ", "!!", "<|endoftext|>", " b", "ᄀ", "ᅡ", "İ"]
         ids = lambda s: self.tokenizer.encode(s, add_special_tokens=False).ids
-        return bool(known) and not stripping and all(ids(a + sep + b) == ids(a) + ids(b) for a in parts for b in parts for sep in (" ", "\n\t"))
-
-    def raw(self, items: list[str]) -> list[tuple[bytes, bytes]]:
-        found = self.tokenizer.encode_batch(items, add_special_tokens=False)
-        return [(np.array(e.ids, dtype="<u4").tobytes(), " ".join(e.tokens).encode() if self.plain else b"") for e in found]
-
-    def put_together(self, chunk: bytes) -> tuple[bytes, bytes]:
-        got = [self.words[w] if len(w) <= LONGEST else self.raw([w.decode()])[0] for w in chunk.split()]
-        return b"".join([g[0] for g in got]), b" ".join([g[1] for g in got if g[1]])
-
-    def learn(self, chunks: list[bytes]) -> None:
-        """Stores the words of these chunks, each new word encoded once."""
-        new = {w for c in chunks for w in c.split() if len(w) <= LONGEST} - self.words.keys()
-        if len(self.words) + len(new) > WORD_STORE:
-            self.words.clear()
-            new = {w for c in chunks for w in c.split() if len(w) <= LONGEST}
-        todo = sorted(new)
+        return bool(known) and not stripping and self.plain and all(ids(a + sep + b) == ids(a) + ids(b) for a in parts for b in parts for sep in (" ", "\n\t"))
+
+    def raw(self, items: list[str]) -> list[bytes]:
+        """The library's ids of each item."""
+        return [np.array(e.ids, dtype="<u4").tobytes() for e in self.tokenizer.encode_batch(items, add_special_tokens=False)]
+
+    def units(self, chunk: bytes) -> list[str] | None:
+        """The tokenizer's units of a chunk; null where they are not certain."""
+        text = chunk.decode()
+        return UNIT.findall(text.lower()) if CERTAIN.fullmatch(text) and "<|" not in text else None
+
+    def learn(self, units: set[str]) -> None:
+        """Stores new units: encoded as one text, in which each ends with one token that ends a word."""
+        todo = self.ids.lacking(units)
         for i in range(0, len(todo), 20_000):
             part = todo[i : i + 20_000]
-            self.words.update(zip(part, self.raw([w.decode() for w in part]), strict=True))
+            ids = np.array(self.tokenizer.encode(" ".join(part), add_special_tokens=False).ids, dtype="<u4")
+            ends = np.flatnonzero(self.ends[ids]) + 1
+            bounds = (4 * np.concatenate([[0], ends])).tolist()
+            if len(ends) != len(part) or (len(ids) and ends[-1] != len(ids)):
+                raise ValueError("a unit is not one word of the vocabulary")
+            raw = ids.tobytes()
+            self.ids.new.update((u, raw[a:b]) for u, a, b in zip(part, bounds, bounds[1:], strict=False))
+
+    def solve(self, missing: dict[bytes, bytes]) -> None:
+        """Stores the ids of chunks, by digest."""
+        parts = {k: self.units(c) for k, c in missing.items()}
+        self.learn(set().union(*(p for p in parts.values() if p)))
+        whole = [k for k, p in parts.items() if p is None]
+        self.chunks.new.update(zip(whole, self.raw([missing[k].decode() for k in whole]), strict=True))
+        ids = self.ids.new.__getitem__
+        self.chunks.new.update((k, b"".join(map(ids, p))) for k, p in parts.items() if p is not None)
 
     def cut(self, data: np.ndarray, offsets: np.ndarray) -> list[list[int]]:
         """Byte positions at which the chunks of each text begin, and its end."""
@@ -106,36 +148,27 @@ class Encoder:
             out.append([int(offsets[i]), *starts[inner].tolist(), int(offsets[i + 1])])
         return out
 
-    def agrees(self, left: bytes, right: bytes) -> bool:
-        """Whether the words at a join have the same ids together as apart."""
-        a, b = left.split()[-1:], right.split()[:1]
-        if not a or not b or len(a[0]) > LONGEST or len(b[0]) > LONGEST:
-            return not a or not b or self.raw([(a[0] + b" " + b[0]).decode()])[0][0] == b"".join(x[0] for x in self.raw([a[0].decode(), b[0].decode()]))
-        key = (a[0], b[0])
-        if key in self.joins:
-            return True
-        apart = self.raw([a[0].decode(), b[0].decode(), (a[0] + b" " + b[0]).decode()])
-        if apart[0][0] + apart[1][0] != apart[2][0]:
-            return False
-        if len(self.joins) >= JOIN_STORE:
-            self.joins.clear()
-        self.joins.add(key)
-        return True
-
-    def repaired(self, pieces: list[bytes]) -> tuple[bytes, bytes]:
-        """Ids and decoded text of consecutive chunks whose ids may depend on one another (white space is in tokens): a window
-        is widened over the join until the ids of both sides agree with it, at worst to the whole text."""
+    def check(self, joins: set[tuple[bytes, bytes]]) -> None:
+        """Stores for each pair of words whether they have the same ids together as apart."""
+        todo = self.joins.lacking(joins)
+        words = list({w for j in todo for w in j})
+        apart = dict(zip(words, self.raw([w.decode() for w in words]), strict=True))
+        for j, both in zip(todo, self.raw([(a + b" " + b).decode() for a, b in todo]), strict=True):
+            self.joins.new[j] = apart[j[0]] + apart[j[1]] == both
+
+    def repaired(self, pieces: list[bytes]) -> bytes:
+        """Ids of consecutive chunks whose ids may depend on one another (white space is in tokens): where the ids around a join
+        differ together and apart, both sides are encoded as one, at worst the whole text."""
         ids, held = b"", b""
         for k, piece in enumerate(pieces):
             held += piece
             tail = held[-64:].decode(errors="ignore")
             nxt = pieces[k + 1] if k + 1 < len(pieces) else b""
-            head = nxt[:64].decode(errors="ignore")
-            both, a, b = (np.frombuffer(self.raw([x])[0][0], "<u4").tolist() for x in (tail + head, tail, head))
+            both, a, b = self.raw([tail + nxt[:64].decode(errors="ignore"), tail, nxt[:64].decode(errors="ignore")])
             if not nxt or both == a + b:
-                ids += self.raw([held.decode()])[0][0]
+                ids += self.raw([held.decode()])[0]
                 held = b""
-        return ids, b""
+        return ids
 
     def encode(self, data: np.ndarray, offsets: np.ndarray) -> list[tuple[bytes, bytes]]:
         """Little-endian 32-bit ids and the decoded text of every text of a batch."""
@@ -143,28 +176,28 @@ class Encoder:
         bounds = self.cut(data, offsets)
         pieces = [[raw[a:b] for a, b in zip(p, p[1:], strict=False) if b > a] for p in bounds]
         if not self.apart:
-            return [self.finish(self.raw([b"".join(p).decode()])[0] if len(p) < 2 else self.repaired(p)) for p in pieces]
+            return [self.decoded(self.repaired(p)) for p in pieces]
         keys = [[xxhash.xxh3_128_digest(c) for c in p] for p in pieces]
-        if len(self.chunks) > CHUNK_STORE:
-            self.chunks.clear()
-        missing = {k: c for p, q in zip(pieces, keys, strict=True) for c, k in zip(p, q, strict=True) if k not in self.chunks}
+        chunk = {k: c for p, q in zip(pieces, keys, strict=True) for c, k in zip(p, q, strict=True)}
+        missing = self.chunks.lacking(chunk.keys() | set())
         self.encoded += len(missing)
         self.reused += sum(map(len, keys)) - len(missing)
-        self.learn(list(missing.values()))
-        self.chunks.update((k, self.put_together(c)) for k, c in missing.items())
+        self.solve({k: chunk[k] for k in missing})
+        joins = [[(a[-200:].split()[-1:], b[:200].split()[:1]) for a, b in zip(p, p[1:], strict=False)] for p in pieces]
+        short = lambda a, b: bool(a and b) and len(a[0]) <= LONGEST and len(b[0]) <= LONGEST
+        self.check({(a[0], b[0]) for js in joins for a, b in js if short(a, b)})
         out = []
-        for p, q in zip(pieces, keys, strict=True):
-            if all(self.agrees(a, b) for a, b in zip(p, p[1:], strict=False)):
-                got = [self.chunks[k] for k in q]
-                out.append(self.finish((b"".join([g[0] for g in got]), b" ".join([g[1] for g in got if g[1]]))))
-            else:
-                out.append(self.finish(self.raw([b"".join(p).decode()])[0]))
+        for p, q, js in zip(pieces, keys, joins, strict=True):
+            agree = all(short(a, b) and self.joins.new[a[0], b[0]] for a, b in js)
+            out.append(self.decoded(b"".join(map(self.chunks.new.__getitem__, q)) if agree else self.raw([b"".join(p).decode()])[0]))
+        for store in (self.ids, self.chunks, self.joins):
+            store.age()
         return out
 
-    def finish(self, got: tuple[bytes, bytes]) -> tuple[bytes, bytes]:
-        if self.plain:
-            return got if self.apart else (got[0], " ".join(self.tokenizer.id_to_token(int(i)) for i in np.frombuffer(got[0], "<u4")).encode())
-        return got[0], self.tokenizer.decode(np.frombuffer(got[0], "<u4").tolist(), skip_special_tokens=False).encode()
+    def decoded(self, ids: bytes) -> tuple[bytes, bytes]:
+        """ids, and their text as the library decodes them; without a decoder it joins the tokens by spaces."""
+        numbers = np.frombuffer(ids, "<u4").tolist()
+        return ids, b" ".join(map(self.token.__getitem__, numbers)) if self.plain else self.tokenizer.decode(numbers, skip_special_tokens=False).encode()
 
 
 _encoders: dict[str, Encoder] = {}

@@ -8,7 +8,7 @@ import pytest
 from granary.llm import bpe, kernels, token_counts
 from granary.llm.common import scratch
 
-TEXTS = [None, "", "  \n ", "Hello  world", "don't it's 'll 12345 a<|endoftext|>b <|startoftext|>", "é é ́x ΑΣ ΑΣ. İstanbul ſ", "日本語 テスト 한국어 각", "x" * 5000, " a b\u0085c\x1cd\x00e", "A\U0001f600B \U0001f468‍\U0001f469"]
+TEXTS = [None, "", "  \n ", "Hello  world", "don't it's 'll 12345 a<|endoftext|>b <|startoftext|>", "é é ́x ΑΣ ΑΣ. İstanbul ſ", "日本語 テスト 한국어 각", "x" * 5000, " a b\u0085c\x1cd\x00e", "Ŀ ŉ İİ ſs ÷×ÿŸ Œuvre a_b [x]{y} ~` \\ é1é2 ½", "A\U0001f600B \U0001f468‍\U0001f469"]
 
 
 def long_texts():
