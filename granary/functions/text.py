@@ -97,10 +97,15 @@ def answer_present(key: Column, texts: Column, least: float = 0.6) -> Column:
     """Whether an answer stands in the texts (an array): an anchor without spaces, else a share of its content words; null
     where the key can't be verified (O-145)."""
     joined = normalised_answer(F.array_join(texts, " \n "))
-    tight = F.replace(joined, F.lit(" "), F.lit(""))
     a, w = anchors(key), content_words(key)
-    by_words = F.try_divide(F.size(F.filter(w, lambda x: F.contains(joined, x))), F.size(w)) >= least
-    return F.when(verifiable(key), F.when(F.size(a) > 0, F.exists(a, lambda x: F.contains(tight, x))).otherwise(by_words))
+
+    def judged(t: Column) -> Column:
+        """With the joined texts bound to a variable, so that they are normalised once and not for each word."""
+        tight = F.replace(t, F.lit(" "), F.lit(""))
+        by_words = F.try_divide(F.size(F.filter(w, lambda x: F.contains(t, x))), F.size(w)) >= least
+        return F.when(F.size(a) > 0, F.exists(a, lambda x: F.contains(tight, x))).otherwise(by_words)
+
+    return F.when(verifiable(key), F.transform(F.array(joined), judged)[0])
 
 
 def legible_run(text: Column) -> Column:
@@ -156,9 +161,10 @@ def disputed(a: Column, b: Column) -> Column:
 
 
 def char_grams(text: Column, n: int = 5) -> Column:
-    """Distinct character n-grams of a text in lower case without anything but letters and digits (O-151)."""
+    """Distinct character n-grams of a text in lower case without anything but letters and digits (O-151). One scan of the text:
+    matches of nothing that look ahead for n characters."""
     t = F.regexp_replace(unaccented(text), r"[^a-z0-9]+", "")
-    return F.array_distinct(F.when(F.length(t) >= n, F.transform(F.sequence(F.lit(1), F.length(t) - n + 1), lambda i: F.substring(t, i, n))).otherwise(F.array().cast("array<string>")))
+    return F.array_distinct(extract_all(t, rf"(?=(.{{{n}}}))", 1))
 
 
 def sanitised(text: Column) -> Column:
