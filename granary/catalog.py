@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from granary.plans import ingestion, knowledge, quality, retrieval, structure
+from granary.plans import ingestion, knowledge, pictures, quality, retrieval, structure
 
-_REGISTRIES = (quality.query, retrieval.query, structure.query, knowledge.query, ingestion.query)
+_REGISTRIES = (quality.query, retrieval.query, structure.query, knowledge.query, ingestion.query, pictures.query)
 QUERIES = {k: f for r in _REGISTRIES for k, f in r.queries.items()}
 ORACLES = {k: s for r in _REGISTRIES for k, s in r.oracles.items()}

@@ -279,3 +279,20 @@ def test_rest_without_optional_subpackage():
     for p in (root / "granary").rglob("*.py"):
         if "llm" not in p.parts:
             assert "granary.llm" not in p.read_text() and "from .llm" not in p.read_text(), p
+
+
+def test_boxes_and_images(spark):
+    import numpy as np
+
+    from granary.functions import images as I
+
+    assert I.fitted([0.2, 0.2, 0.5, 0.5], [[0.3, 0.45, 0.5, 0.55]])[3] == pytest.approx(0.55)  # mostly inside: taken in
+    assert I.fitted([0.2, 0.2, 0.5, 0.5], [[0.2, 0.5, 0.5, 0.8]])[3] == pytest.approx(0.5)  # touched: left out
+    assert I.fitted([0.2, 0.2, 0.5, 0.5], []) == pytest.approx([0.17, 0.17, 0.53, 0.53])
+    page = np.full((60, 80), 255.0)
+    page[20:30, 40:55] = np.random.default_rng(0).integers(0, 255, (10, 15))
+    assert I.located(page, page[18:32, 38:58]) == (38, 18) and I.located(page, np.full((5, 5), 255.0)) is None
+    blank, drawn = bytes([255] * 4800), page.astype(np.uint8).tobytes()
+    df = spark.createDataFrame([(0, bytearray(blank)), (1, bytearray(drawn))], "i int, c binary")
+    r = {x.i: x for x in df.select("i", I.ink_ratio("c", F.lit(80), F.lit(60)).alias("ink"), I.content_box("c", F.lit(80), F.lit(60)).alias("box")).collect()}
+    assert r[0].ink < I.LEAST_INK < r[1].ink and r[0].box is None and r[1].box == [40, 20, 55, 30]
