@@ -97,3 +97,8 @@ def reconciled(markdown_text: Column, rows: Column) -> Column:
     head = F.transform(F.split(F.regexp_replace(F.split(F.trim(markdown_text), "\n")[0], r"^\s*\||\|\s*$", ""), r"\|"), lambda c: F.trim(c))
     same = lambda r: F.transform(r, lambda c: F.lower(F.trim(c)))
     return F.when((F.size(rows) > 0) & (same(F.try_element_at(rows, F.lit(1))) == same(head)), rows).otherwise(F.concat(F.array(head), rows))
+
+
+def nearby_table_names(texts: Column, longest: int = 200) -> Column:
+    """Of the texts before a table the short ones that name it as a table or a specification (O-32)."""
+    return F.filter(texts, lambda t: (F.length(t) < longest) & F.lower(t).rlike("tabla|especificaciones"))

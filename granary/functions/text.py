@@ -226,3 +226,9 @@ def indel_ratio(parts: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Ser
     drop = str.maketrans("", "", "\"'.,")
     for a, b in parts:
         yield pd.Series([_indel((x or "").translate(drop).lower(), (y or "").translate(drop).lower()) for x, y in zip(a, b, strict=True)], dtype="float64")
+
+
+def relabelled(text: Column, old: str, new: str) -> Column:
+    """A text with its first line that begins with the old label under the new one; a text that has the new one stays (O-150)."""
+    done = text.rlike(rf"(?m)^\Q{new}\E")
+    return F.when(done, text).otherwise(F.regexp_replace(text, rf"(?s)\A(.*?)(?m:^)\Q{old}\E", "$1" + new))

@@ -104,3 +104,21 @@ def routed(rows: DataFrame) -> DataFrame:
     """Where a question goes by its intent and history: an invalid one with history is a follow-up (O-164)."""
     r = F.when((F.col("intent") == "invalid") & F.col("has_history"), "followup").when(F.col("intent") == "invalid", "reject").when(F.col("intent") == "followup", F.when(F.col("has_history"), "followup").otherwise("new")).otherwise(F.col("intent"))
     return rows.withColumn("route", r)
+
+
+def overrides(spec: str) -> dict:
+    """Typed settings of a text such as a=false,b=.35,c=x (O-170)."""
+    out: dict = {}
+    for part in filter(None, (p.strip() for p in (spec or "").split(","))):
+        name, sign, value = part.partition("=")
+        if not sign:
+            raise ValueError(f"{part} has no value")
+        low = value.strip().lower()
+        if low in ("true", "false"):
+            out[name.strip()] = low == "true"
+        else:
+            try:
+                out[name.strip()] = int(low) if low.lstrip("-").isdigit() else float(low)
+            except ValueError:
+                out[name.strip()] = value.strip()
+    return out

@@ -327,3 +327,19 @@ def natural_order(spark, sf):
 
     k = L.natural_key(F.concat(F.col("p_size").cast("string"), F.lit("-99")), F.concat(F.lit("chunk_"), F.col("p_partkey").cast("string")))
     return read(spark, sf, "part").select("p_partkey", F.row_number().over(Window.orderBy(k)).alias("place"))
+
+
+@query("""WITH c AS (SELECT conv_id, turn, CASE WHEN turn % 2 = 0 THEN 'Tabla de ' || substr(text, 1, 20) ELSE text END AS t FROM conversations)
+ SELECT conv_id, turn, list_filter(coalesce(list(t) OVER (PARTITION BY conv_id ORDER BY turn ROWS BETWEEN 3 PRECEDING AND 1 PRECEDING), []), lambda x: length(x) < 200 AND regexp_matches(lower(x), 'tabla|especificaciones')) AS context FROM c""")
+def table_context(spark, sf):
+    from pyspark.sql import Window
+
+    c = read(spark, sf, "conversations").withColumn("t", F.when(F.col("turn") % 2 == 0, F.concat(F.lit("Tabla de "), F.substring("text", 1, 20))).otherwise(F.col("text")))
+    w = Window.partitionBy("conv_id").orderBy("turn").rowsBetween(-3, -1)
+    return c.select("conv_id", "turn", T.nearby_table_names(F.collect_list("t").over(w)).alias("context"))
+
+
+@query("SELECT doc_id, CASE WHEN doc_id % 2 = 0 THEN 'x' || chr(10) || 'INTERPRETADAS: a' || chr(10) || 'CONEXIONES: b' ELSE 'INTERPRETADAS: c' END AS text FROM documents")
+def rubric_migration(spark, sf):
+    t = F.when(F.col("doc_id") % 2 == 0, "x\nCONEXIONES: a\nCONEXIONES: b").otherwise("INTERPRETADAS: c")
+    return read(spark, sf, "documents").select("doc_id", X.relabelled(t, "CONEXIONES:", "INTERPRETADAS:").alias("text"))

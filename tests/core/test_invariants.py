@@ -296,3 +296,9 @@ def test_boxes_and_images(spark):
     df = spark.createDataFrame([(0, bytearray(blank)), (1, bytearray(drawn))], "i int, c binary")
     r = {x.i: x for x in df.select("i", I.ink_ratio("c", F.lit(80), F.lit(60)).alias("ink"), I.content_box("c", F.lit(80), F.lit(60)).alias("box")).collect()}
     assert r[0].ink < I.LEAST_INK < r[1].ink and r[0].box is None and r[1].box == [40, 20, 55, 30]
+
+
+def test_overrides():
+    assert V.overrides("a=false, b=.35,c=x,d=7") == {"a": False, "b": 0.35, "c": "x", "d": 7} and V.overrides("") == {}
+    with pytest.raises(ValueError):
+        V.overrides("a")
