@@ -29,9 +29,9 @@ from . import kernels as K
 from .common import cut, in_arrow, texts
 
 FEATURES, WIDTH, RANK, PASSAGE = 1 << 15, 40, 36, 48
-#: Features in more than this share of passages have no weight.
-COMMON = 0.04
-COSINE, SHARED, CERTAIN, LIKELY, ANSWER = 0.4, 0.4, 0.7, 0.5, 0.6
+#: Features in more passages than this share of all and RARE more have no weight.
+COMMON, RARE = 0.005, 25
+COSINE, SHARED, CERTAIN, LIKELY, ANSWER = 0.45, 0.3, 0.7, 0.5, 0.6
 BLOCK, CHUNK_WORDS = 512, 40_000
 LENGTHS = [8, 12, 18, 27, 40, 60, 90, 135, 200, 300, 450, 675, 1000]
 
@@ -104,7 +104,7 @@ def weights(docs: DataFrame) -> np.ndarray:
     got = accumulated(docs, count, 2)
     df, n = got[:, 0], max(got[0, 1], 1)
     idf = np.log((n + 1) / (df + 1))
-    return np.where(df > COMMON * n, 0, idf).astype(np.float32) if n > 50 else idf.astype(np.float32)
+    return np.where(df > COMMON * n + RARE, 0, idf).astype(np.float32)
 
 
 def singular_space(docs: DataFrame, idf: np.ndarray) -> np.ndarray:
@@ -177,9 +177,14 @@ class Searcher:
     def __init__(self, items: list[Item], idf: np.ndarray, space: np.ndarray):
         self.items = items
         self.table = np.concatenate([space * idf[:, None], np.zeros((1, space.shape[1]), np.float32)])
+        # Words with a weight tell passages apart; an item without any is held by all its words.
         self.has = np.zeros((len(items), 1 << 16), dtype=bool)
+        self.need = np.zeros(len(items))
         for i, x in enumerate(items):
-            self.has[i, [w >> 48 for w in x.words]] = True
+            told = {w for w in x.words if idf[w & (FEATURES - 1)] > 0} or set(x.words)
+            self.has[i, [w >> 48 for w in told]] = True
+            self.need[i] = max(1, SHARED * sum(w in told for w in x.words))
+        self.tells = self.has.any(axis=0)
         self.classes: dict[int, list[int]] = {}
         for i, x in enumerate(items):
             self.classes.setdefault(min(LENGTHS, key=lambda n: abs(np.log(n / len(x.words)))), []).append(i)
@@ -208,8 +213,9 @@ class Searcher:
             return
         at = np.minimum(np.searchsorted(self.known, h), len(self.known) - 1)
         x = self.table[np.where(self.known[at] == h, (h & np.uint64(FEATURES - 1)).astype(np.int32), FEATURES)]
-        total = np.concatenate([np.zeros((1, x.shape[1]), np.float32), np.cumsum(x, axis=0, dtype=np.float64).astype(np.float32)])
+        total = np.concatenate([np.zeros((1, x.shape[1]), np.float32), np.cumsum(x, axis=0, dtype=np.float32)])
         high = (h >> np.uint64(48)).astype(np.int32)
+        told = np.concatenate([[0], np.cumsum(self.tells[high])])
         n = np.diff(first)
         for length, members in self.classes.items():
             stride = max(1, length // 3)
@@ -218,17 +224,22 @@ class Searcher:
             k = np.arange(len(text)) - np.repeat(np.cumsum(count) - count, count)
             start = first[text] + np.minimum(k * stride, np.maximum(n[text] - length, 0))
             end = np.minimum(start + length, first[text + 1])
+            # A window with fewer words that any item needs than an item needs can't hold it.
+            held = told[end] - told[start]
+            some = held >= self.need[members].min()
+            text, start, end, held = text[some], start[some], end[some], held[some]
             v = total[end] - total[start]
             norm = np.sqrt(np.einsum("ij,ij->i", v, v))
             hit, item = np.nonzero((v @ self.vectors[members].T >= COSINE * np.maximum(norm, 1e-12)[:, None]) | self.blank[members])
             if not len(hit):
                 continue
             item = np.array(members)[item]
+            enough = held[hit] >= self.need[item]
+            hit, item = hit[enough], item[enough]
             for i in range(0, len(hit), 50_000):
                 hi, it = hit[i : i + 50_000], item[i : i + 50_000]
                 at = np.minimum(start[hi][:, None] + np.arange(length), end[hi][:, None] - 1)
-                sizes = np.array([len(self.items[j].words) for j in members]).min()
-                near = self.has[it[:, None], high[at]].sum(axis=1) >= SHARED * min(sizes, length)
+                near = self.has[it[:, None], high[at]].sum(axis=1) >= self.need[it]
                 for w, j in zip(hi[near].tolist(), it[near].tolist(), strict=True):
                     self.confirm(h, first, int(text[w]), int(start[w]), int(end[w]), j, float(v[w] @ self.vectors[j] / max(norm[w], 1e-12)), a, best)
 
