@@ -97,8 +97,9 @@ def weights(docs: DataFrame) -> np.ndarray:
     def count(t: Tokens, total: np.ndarray) -> None:
         if len(t.hashes):
             p = passages(t.first)
-            pairs = np.unique(p.astype(np.int64) * FEATURES + t.features)
-            total[:, 0] += np.bincount(pairs % FEATURES, minlength=FEATURES)
+            pairs = np.sort(p.astype(np.int64) * FEATURES + t.features)
+            pairs = pairs[np.concatenate([[True], pairs[1:] != pairs[:-1]])]
+            total[:, 0] += np.bincount(pairs & (FEATURES - 1), minlength=FEATURES)
             total[0, 1] += p[-1] + 1
 
     got = accumulated(docs, count, 2)
@@ -110,6 +111,7 @@ def weights(docs: DataFrame) -> np.ndarray:
 def singular_space(docs: DataFrame, idf: np.ndarray) -> np.ndarray:
     """Rows: the features' coordinates in the whitened leading right singular space of the passages' TF-IDF matrix."""
     omega = np.random.default_rng(17).standard_normal((FEATURES, WIDTH)).astype(np.float32)
+    weighted = omega * idf[:, None]
 
     def add(t: Tokens, total: np.ndarray) -> None:
         f, p = t.features, passages(t.first)
@@ -117,15 +119,13 @@ def singular_space(docs: DataFrame, idf: np.ndarray) -> np.ndarray:
         f, p = f[keep], p[keep]
         for i in range(0, len(f), CHUNK_WORDS):  # a passage parted here counts as two
             fi, pi = f[i : i + CHUNK_WORDS], p[i : i + CHUNK_WORDS]
-            w = idf[fi]
-            head = np.flatnonzero(np.concatenate([[True], pi[1:] != pi[:-1]]))
-            size = np.diff(np.concatenate([head, [len(pi)]]))
-            norm = 1 / np.add.reduceat(w * w, head)
-            z = np.add.reduceat(omega[fi] * w[:, None], head, axis=0) * norm[:, None]
+            new = np.concatenate([[True], pi[1:] != pi[:-1]])
+            head, row = np.flatnonzero(new), np.cumsum(new) - 1
+            z = np.add.reduceat(weighted[fi], head, axis=0) / np.add.reduceat(idf[fi] ** 2, head)[:, None]
             order = np.argsort(fi, kind="stable")
             fs = fi[order]
             runs = np.flatnonzero(np.concatenate([[True], fs[1:] != fs[:-1]]))
-            total[fs[runs]] += np.add.reduceat(np.repeat(z, size, axis=0)[order] * w[order][:, None], runs, axis=0)
+            total[fs[runs]] += np.add.reduceat(z[row[order]], runs, axis=0) * idf[fs[runs]][:, None]
 
     y = accumulated(docs, add, WIDTH)
     shift = 1e-6 * max(np.linalg.norm(y), 1e-12)
@@ -176,7 +176,8 @@ class Searcher:
 
     def __init__(self, items: list[Item], idf: np.ndarray, space: np.ndarray):
         self.items = items
-        self.table = np.concatenate([space * idf[:, None], np.zeros((1, space.shape[1]), np.float32)])
+        self.table = space * idf[:, None]
+        self.weighted = idf > 0
         # Words with a weight tell passages apart; an item without any is held by all its words.
         self.has = np.zeros((len(items), 1 << 16), dtype=bool)
         self.need = np.zeros(len(items))
@@ -211,9 +212,15 @@ class Searcher:
         first = first - first[0]
         if not len(h):
             return
-        at = np.minimum(np.searchsorted(self.known, h), len(self.known) - 1)
-        x = self.table[np.where(self.known[at] == h, (h & np.uint64(FEATURES - 1)).astype(np.int32), FEATURES)]
-        total = np.concatenate([np.zeros((1, x.shape[1]), np.float32), np.cumsum(x, axis=0, dtype=np.float32)])
+        # Sums of vectors up to each word; words that no item has and words without a weight add nothing and are passed over.
+        f = (h & np.uint64(FEATURES - 1)).astype(np.int32)
+        some = np.flatnonzero(self.weighted[f])
+        at = np.minimum(np.searchsorted(self.known, h[some]), len(self.known) - 1)
+        some = some[self.known[at] == h[some]]
+        total = np.concatenate([np.zeros((1, self.table.shape[1]), np.float32), np.cumsum(self.table[f[some]], axis=0, dtype=np.float32)])
+        upto = np.zeros(len(h) + 1, np.int64)
+        upto[some + 1] = 1
+        upto = np.cumsum(upto)
         high = (h >> np.uint64(48)).astype(np.int32)
         told = np.concatenate([[0], np.cumsum(self.tells[high])])
         n = np.diff(first)
@@ -228,7 +235,7 @@ class Searcher:
             held = told[end] - told[start]
             some = held >= self.need[members].min()
             text, start, end, held = text[some], start[some], end[some], held[some]
-            v = total[end] - total[start]
+            v = total[upto[end]] - total[upto[start]]
             norm = np.sqrt(np.einsum("ij,ij->i", v, v))
             hit, item = np.nonzero((v @ self.vectors[members].T >= COSINE * np.maximum(norm, 1e-12)[:, None]) | self.blank[members])
             if not len(hit):
