@@ -30,8 +30,8 @@ from . import kernels as K
 from .common import in_arrow, texts
 
 WINDOW, MASK = 4, 255
-UNIT_STORE, CHUNK_STORE, JOIN_STORE = 250_000, 6_000, 200_000
-#: Longer units and words are not stored.
+UNIT_STORE, CHUNK_STORE, JOIN_STORE = 250_000, 6_000, 50_000
+#: Joins of longer words are not stored but encoded.
 LONGEST = 64
 #: Characters whose units are certain: ASCII but for the apostrophe, and precomposed Latin letters that are one letter in lower case.
 CERTAIN = re.compile("[ \\t\\n\\r!-&(-~À-ÖØ-öø-įı-ſ]*")

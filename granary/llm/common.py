@@ -12,6 +12,8 @@ from pyspark.sql import functions as F
 
 #: Rows of one Arrow batch; with whole texts in them, batches of the default size would not be bounded in bytes.
 BATCH_ROWS = 500
+#: Name of this driver's part of the shared folder.
+RUN = uuid.uuid4().hex
 
 
 def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -28,8 +30,14 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 def scratch(spark: SparkSession, name: str) -> str:
-    """A new path in the shared folder."""
-    return f"{shared_dir(spark)}/granary/{name}-{uuid.uuid4().hex}"
+    """A new path in the shared folder, under this driver's own part of it."""
+    return f"{shared_dir(spark)}/granary-{RUN}/{name}-{uuid.uuid4().hex}"
+
+
+def cleanup(spark: SparkSession) -> None:
+    """Deletes what this driver has written to the shared folder. Results that read from there are of no use afterwards."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(f"{shared_dir(spark)}/granary-{RUN}")
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def cut(df: DataFrame, name: str) -> DataFrame:

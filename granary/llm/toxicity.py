@@ -99,7 +99,10 @@ class Network:
         known[known] = self.vocabulary[slot[known]] == w.hashes[known]
         slot = np.where(known, slot, len(self.vocabulary))
         n = np.diff(w.gram_bounds)
-        sums = np.add.reduceat(self.p["gram"][w.grams], w.gram_bounds[:-1], axis=0) if len(n) else np.zeros((0, CHAR_DIM), np.float32)
+        sums = np.zeros((len(n), CHAR_DIM), np.float32)
+        for i in range(0, len(n), 8192):  # the vectors of all grams at once would take far more memory than their sums
+            b = w.gram_bounds[i : i + 8193]
+            sums[i : i + 8192] = np.add.reduceat(self.p["gram"][w.grams[b[0] : b[-1]]], b[:-1] - b[0], axis=0)
         x = np.concatenate([self.p["word"][slot], np.tanh(sums / np.maximum(n, 1)[:, None].astype(np.float32) * 4)], axis=1)
         return np.concatenate([x, np.zeros((1, x.shape[1]), np.float32)]), slot, sums
 

@@ -121,3 +121,15 @@ def test_samples_are_bounded_and_never_held_out(spark):
     labels = spark.createDataFrame([(i, int(i % 2)) for i in range(200)], "doc_id long, toxic int")
     items, y, w = labelled.sample(spark.createDataFrame(rows, "doc_id long, text string"), labels, "toxic", 20)
     assert len(items) == 40 and sum(y) == 20 and all(zlib.crc32(re.sub(r"\D", "", t).encode()) % 5 for t in items) and min(w) > 1
+
+
+def test_cleanup_leaves_nothing(spark):
+    import os
+
+    from granary.llm.common import RUN, cleanup, cut, shared_dir
+
+    assert cut(spark.range(3).toDF("id"), "x").count() == 3
+    where = shared_dir(spark).removeprefix("file://") + f"/granary-{RUN}"
+    assert os.path.isdir(where)
+    cleanup(spark)
+    assert not os.path.exists(where)
