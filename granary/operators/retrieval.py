@@ -67,17 +67,19 @@ def tokens(text: Column) -> Column:
 
 
 def bm25(queries: DataFrame, docs: DataFrame, k: int) -> DataFrame:
-    """The k best documents of each query by Okapi BM25 (O-107); terms that a query repeats count as often. Postings are counted
-    before they are shuffled and only those of query terms are; the terms of the query set are broadcast in blocks."""
+    """The k best documents of each query by Okapi BM25 (O-107); terms that a query repeats count as often. Only
+    the query set's terms, broadcast in blocks, are kept of the texts before anything is shuffled; the terms' document counts are cached."""
     words = docs.select("doc_id", tokens(F.col("text")).alias("t"))
     n, avg = words.agg(F.count("*"), F.avg(F.size("t"))).first()
-    postings = words.select("doc_id", F.size("t").alias("len"), F.explode("t").alias("term")).groupBy("doc_id", "term").agg(F.count("*").alias("tf"), F.first("len").alias("len"))
-    df = postings.groupBy("term").agg(F.count("*").alias("df")).withColumn("idf", F.log(n - F.col("df") + 0.5) - F.log(F.col("df") + 0.5))
+    df = words.select(F.explode(F.array_distinct("t")).alias("term")).groupBy("term").agg(F.count("*").alias("df"))
+    df = df.withColumn("idf", F.log(n - F.col("df") + 0.5) - F.log(F.col("df") + 0.5)).persist()
     floor = EPSILON * (df.agg(F.avg("idf")).first()[0] or 0.0)
     idf = df.select("term", F.when(F.col("idf") < 0, F.lit(floor)).otherwise(F.col("idf")).alias("idf"))
     out = []
     for part in query_blocks(queries):
         q = part.select("query_id", F.explode(tokens(F.col("text"))).alias("term")).groupBy("query_id", "term").agg(F.count("*").alias("qtf")).join(idf, "term")
+        asked = F.broadcast(q.select("term").distinct())
+        postings = words.select("doc_id", F.size("t").alias("len"), F.explode("t").alias("term")).join(asked, "term", "left_semi").groupBy("doc_id", "term").agg(F.count("*").alias("tf"), F.first("len").alias("len"))
         hits = postings.join(F.broadcast(q), "term")
         score = F.col("qtf") * F.col("idf") * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("len") / (avg or 1.0)))
         scored = hits.groupBy("query_id", "doc_id").agg(F.round(F.sum(score), 6).alias("bm25_score"))
