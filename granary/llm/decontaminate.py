@@ -30,8 +30,8 @@ from .common import cut, in_arrow, texts
 
 FEATURES, WIDTH, RANK, PASSAGE = 1 << 15, 40, 36, 48
 #: Features in more passages than this share of all and RARE more have no weight.
-COMMON, RARE = 0.005, 25
-COSINE, SHARED, CERTAIN, LIKELY, ANSWER = 0.45, 0.3, 0.7, 0.5, 0.6
+COMMON, RARE = 0.04, 25
+COSINE, SHARED, CERTAIN, LIKELY, ANSWER = 0.4, 0.3, 0.7, 0.5, 0.6
 BLOCK, CHUNK_WORDS = 512, 40_000
 LENGTHS = [8, 12, 18, 27, 40, 60, 90, 135, 200, 300, 450, 675, 1000]
 
@@ -186,6 +186,7 @@ class Searcher:
             self.has[i, [w >> 48 for w in told]] = True
             self.need[i] = max(1, SHARED * sum(w in told for w in x.words))
         self.tells = self.has.any(axis=0)
+        self.flat = self.has.ravel()
         self.classes: dict[int, list[int]] = {}
         for i, x in enumerate(items):
             self.classes.setdefault(min(LENGTHS, key=lambda n: abs(np.log(n / len(x.words)))), []).append(i)
@@ -222,7 +223,8 @@ class Searcher:
         upto[some + 1] = 1
         upto = np.cumsum(upto)
         high = (h >> np.uint64(48)).astype(np.int32)
-        told = np.concatenate([[0], np.cumsum(self.tells[high])])
+        tells = self.tells[high]
+        told, telling = np.concatenate([[0], np.cumsum(tells)]), high[tells]
         n = np.diff(first)
         for length, members in self.classes.items():
             stride = max(1, length // 3)
@@ -243,10 +245,16 @@ class Searcher:
             item = np.array(members)[item]
             enough = held[hit] >= self.need[item]
             hit, item = hit[enough], item[enough]
-            for i in range(0, len(hit), 50_000):
-                hi, it = hit[i : i + 50_000], item[i : i + 50_000]
-                at = np.minimum(start[hi][:, None] + np.arange(length), end[hi][:, None] - 1)
-                near = self.has[it[:, None], high[at]].sum(axis=1) >= self.need[it]
+            # Only the words that tell are looked up; windows with about as many of them go together.
+            order = np.argsort(held[hit], kind="stable")
+            hit, item = hit[order], item[order]
+            for i in range(0, len(hit), 20_000):
+                hi, it = hit[i : i + 20_000], item[i : i + 20_000]
+                step = np.arange(held[hi[-1]], dtype=np.int32)
+                at = np.minimum(told[start[hi]].astype(np.int32)[:, None] + step, len(telling) - 1)
+                found = self.flat.take((it.astype(np.int32) << 16)[:, None] + telling.take(at))
+                found &= step < held[hi][:, None]
+                near = found.sum(axis=1, dtype=np.uint16) >= self.need[it]
                 for w, j in zip(hi[near].tolist(), it[near].tolist(), strict=True):
                     self.confirm(h, first, int(text[w]), int(start[w]), int(end[w]), j, float(v[w] @ self.vectors[j] / max(norm[w], 1e-12)), a, best)
 
