@@ -29,8 +29,8 @@ from pyspark.sql import functions as F
 from . import kernels as K
 from .common import in_arrow, texts
 
-WINDOW, MASK = 4, 255
-UNIT_STORE, CHUNK_STORE, JOIN_STORE = 250_000, 6_000, 50_000
+WINDOW, MASK = 4, 63
+UNIT_STORE, CHUNK_STORE, JOIN_STORE = 250_000, 12_000, 200_000
 #: Joins of longer words are not stored but encoded.
 LONGEST = 64
 #: Characters whose units are certain: ASCII but for the apostrophe, and precomposed Latin letters that are one letter in lower case.
