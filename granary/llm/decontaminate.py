@@ -5,8 +5,9 @@ the words' passages; a second sums A'(A Omega) for a random Omega over all passa
 singular space (Nystrom form of the randomised SVD; its matrices are FEATURES x WIDTH whatever the corpus). A third pass
 projects windows of every length class of the benchmark, at a stride of a third of their length, over whole texts, and takes
 those whose cosine with an item is at least COSINE as candidates; words that no item has count as nothing in a window, and an
-item whose words all are too common for a weight has every window as a candidate. A candidate stands if the longest common subsequence of
-words has CERTAIN of the item's words, or LIKELY of them with ANSWER of its answer's (its last sentence), which holds for paraphrases.
+item or a window whose words all are without a weight has no cosine and is a candidate with all. A candidate stands if the longest common
+subsequence of words has CERTAIN of the item's words, or LIKELY of them with ANSWER of its answer's (its last sentence), which holds for
+paraphrases; candidates around which fewer than LIKELY of the item's words occur at all are passed over before, which loses none.
 
 Edge cases: null and empty texts match nothing; items without words are left out; items of the same id are matched each;
 repeated rows are matched each; an empty table of documents or of items gives an empty result; other columns are not read.
@@ -31,8 +32,8 @@ from .common import cut, in_arrow, texts
 FEATURES, WIDTH, RANK, PASSAGE = 1 << 15, 40, 36, 48
 #: Features in more passages than this share of all and RARE more have no weight.
 COMMON, RARE = 0.04, 25
-COSINE, SHARED, CERTAIN, LIKELY, ANSWER = 0.4, 0.3, 0.7, 0.5, 0.6
-BLOCK, CHUNK_WORDS = 512, 40_000
+COSINE, CERTAIN, LIKELY, ANSWER = 0.4, 0.7, 0.5, 0.6
+BLOCK, CHUNK_WORDS, CELLS, KEPT = 512, 40_000, 8_000_000, 256
 LENGTHS = [8, 12, 18, 27, 40, 60, 90, 135, 200, 300, 450, 675, 1000]
 
 
@@ -156,18 +157,34 @@ def items_of(rows: list[tuple[int, str]]) -> list[Item]:
     return out
 
 
-def common_length(a: list[int], b: list[int]) -> int:
-    """Length of the longest common subsequence, with a's places as bits of one number."""
+def margin(item: Item) -> int:
+    """Words before and after a window that are read with it."""
+    return max(4, len(item.words) // 2)
+
+
+def places(a: list[int]) -> dict[int, int]:
+    """The places of each word as bits of one number."""
     where: dict[int, int] = {}
     for i, w in enumerate(a):
         where[w] = where.get(w, 0) | 1 << i
+    return where
+
+
+def common_length(a: list[int], b: list[int], where: dict[int, int] | None = None, least: float = 0) -> int:
+    """Length of the longest common subsequence; where: places(a). If it is less than least, any number less than least."""
+    where = places(a) if where is None else where
+    found = [where[w] for w in b if w in where]
+    if least:
+        some = 0
+        for m in set(found):
+            some |= m
+        if min(len(found), some.bit_count()) < least:
+            return 0
     full = (1 << len(a)) - 1
     row = full
-    for w in b:
-        m = where.get(w)
-        if m:
-            u = row & m
-            row = ((row + u) | (row - u)) & full
+    for m in found:
+        u = row & m
+        row = ((row + u) | (row - u)) & full
     return len(a) - row.bit_count()
 
 
@@ -178,15 +195,17 @@ class Searcher:
         self.items = items
         self.table = space * idf[:, None]
         self.weighted = idf > 0
-        # Words with a weight tell passages apart; an item without any is held by all its words.
-        self.has = np.zeros((len(items), 1 << 16), dtype=bool)
-        self.need = np.zeros(len(items))
+        # What confirm accepts has LIKELY of an item's words, common ones too, in the region that it reads.
+        # A row of `has` for each upper 16 bits of a hash that items have, found by `row`; row 0 is for all others.
+        high = sorted({w >> 48 for x in items for w in x.words})
+        self.row = np.zeros(1 << 16, np.int32)
+        self.row[high] = np.arange(1, len(high) + 1)
+        self.has = np.zeros((len(high) + 1, len(items)), dtype=bool)
         for i, x in enumerate(items):
-            told = {w for w in x.words if idf[w & (FEATURES - 1)] > 0} or set(x.words)
-            self.has[i, [w >> 48 for w in told]] = True
-            self.need[i] = max(1, SHARED * sum(w in told for w in x.words))
-        self.tells = self.has.any(axis=0)
-        self.flat = self.has.ravel()
+            self.has[self.row[[w >> 48 for w in x.words]], i] = True
+        self.need = np.array([LIKELY * len(x.words) for x in items])
+        self.where = [places(x.words) if len(x.words) <= KEPT else None for x in items]
+        self.more = np.array([margin(x) for x in items])
         self.classes: dict[int, list[int]] = {}
         for i, x in enumerate(items):
             self.classes.setdefault(min(LENGTHS, key=lambda n: abs(np.log(n / len(x.words)))), []).append(i)
@@ -222,9 +241,9 @@ class Searcher:
         upto = np.zeros(len(h) + 1, np.int64)
         upto[some + 1] = 1
         upto = np.cumsum(upto)
-        high = (h >> np.uint64(48)).astype(np.int32)
-        tells = self.tells[high]
-        told, telling = np.concatenate([[0], np.cumsum(tells)]), high[tells]
+        row = self.row[(h >> np.uint64(48)).astype(np.int32)]
+        tells = row > 0
+        told, telling = np.concatenate([[0], np.cumsum(tells)]), row[tells]
         n = np.diff(first)
         for length, members in self.classes.items():
             stride = max(1, length // 3)
@@ -233,36 +252,37 @@ class Searcher:
             k = np.arange(len(text)) - np.repeat(np.cumsum(count) - count, count)
             start = first[text] + np.minimum(k * stride, np.maximum(n[text] - length, 0))
             end = np.minimum(start + length, first[text + 1])
-            # A window with fewer words that any item needs than an item needs can't hold it.
-            held = told[end] - told[start]
+            # A region with fewer words of any item than an item needs can't hold it.
+            wide = self.more[members].max()
+            held = told[np.minimum(end + wide, first[text + 1])] - told[np.maximum(start - wide, first[text])]
             some = held >= self.need[members].min()
-            text, start, end, held = text[some], start[some], end[some], held[some]
+            text, start, end = text[some], start[some], end[some]
             v = total[upto[end]] - total[upto[start]]
             norm = np.sqrt(np.einsum("ij,ij->i", v, v))
-            hit, item = np.nonzero((v @ self.vectors[members].T >= COSINE * np.maximum(norm, 1e-12)[:, None]) | self.blank[members])
-            if not len(hit):
-                continue
-            item = np.array(members)[item]
-            enough = held[hit] >= self.need[item]
-            hit, item = hit[enough], item[enough]
-            # Only the words that tell are looked up; windows with about as many of them go together.
-            order = np.argsort(held[hit], kind="stable")
-            hit, item = hit[order], item[order]
-            for i in range(0, len(hit), 20_000):
-                hi, it = hit[i : i + 20_000], item[i : i + 20_000]
-                step = np.arange(held[hi[-1]], dtype=np.int32)
-                at = np.minimum(told[start[hi]].astype(np.int32)[:, None] + step, len(telling) - 1)
-                found = self.flat.take((it.astype(np.int32) << 16)[:, None] + telling.take(at))
-                found &= step < held[hi][:, None]
-                near = found.sum(axis=1, dtype=np.uint16) >= self.need[it]
-                for w, j in zip(hi[near].tolist(), it[near].tolist(), strict=True):
+            # A window without any word of weight has no cosine and is passed on as items without one are.
+            near = (v @ self.vectors[members].T >= COSINE * np.maximum(norm, 1e-12)[:, None]) | self.blank[members] | (norm <= 1e-9)[:, None]
+            low, high = first[text], first[text + 1]
+            some = max(1, CELLS // (len(telling) + 1))
+            for i in range(0, len(members), some):
+                hit, column = np.nonzero(near[:, i : i + some])
+                if not len(hit):
+                    continue
+                part = np.array(members[i : i + some])
+                item = part[column]
+                # Words up to each place that each item has.
+                upto_item = np.zeros((len(telling) + 1, len(part)), np.int32)
+                np.cumsum(self.has[:, part].astype(np.int32).take(telling, axis=0), axis=0, out=upto_item[1:])
+                more = self.more[item]
+                held = upto_item[told[np.minimum(end[hit] + more, high[hit])], column] - upto_item[told[np.maximum(start[hit] - more, low[hit])], column]
+                enough = held >= self.need[item]
+                for w, j in zip(hit[enough].tolist(), item[enough].tolist(), strict=True):
                     self.confirm(h, first, int(text[w]), int(start[w]), int(end[w]), j, float(v[w] @ self.vectors[j] / max(norm[w], 1e-12)), a, best)
 
     def confirm(self, h, first, text: int, start: int, end: int, j: int, cosine: float, a: int, best: dict) -> None:
         item = self.items[j]
-        more = max(4, len(item.words) // 2)
+        more = margin(item)
         region = h[max(first[text], start - more) : min(first[text + 1], end + more)].tolist()
-        share = common_length(item.words, region) / len(item.words)
+        share = common_length(item.words, region, self.where[j], LIKELY * len(item.words)) / len(item.words)
         if share < LIKELY:
             return
         answer = common_length(item.answer, region) / len(item.answer)

@@ -86,6 +86,24 @@ def test_leaks_and_paraphrases(spark):
     assert decontaminate.leaks(df, bench.limit(0)).count() == 0
 
 
+def test_leaks_of_items_with_few_rare_words(spark):
+    r = random.Random(3)
+    common, other = [f"the{c}" for c in "abcdefghijklmnop"], ["zig" + c + d for c in "abcdefghijklmnop" for d in "abcdefghij"]
+    rare = lambda k, n: [f"rare{chr(97 + k)}{chr(97 + i)}" for i in range(n)]
+    filler = lambda n: [r.choice(common) if r.random() < 0.3 else r.choice(other) + r.choice(other) for _ in range(n)]
+    mixed = lambda a, b: [x for i in range(11) for x in (a[i], *b[i : i + 1])]
+    order = r.sample(common, 11)
+    few, one = mixed(order, rare(0, 7)), [*r.sample(common, 12), "lonely"]
+    docs = [(i, " ".join(filler(200))) for i in range(400)]
+    docs.append((1000, " ".join(filler(90) + mixed(order, ["changed" + c for c in "abcde"] + rare(0, 7)[5:]) + filler(90))))
+    docs.append((1001, " ".join([*r.choices(other, k=60), *one[:12], "replaced", *r.choices(other, k=60)])))
+    docs.append((1002, " ".join(r.choices(other, k=60) + few[::-1] + r.choices(other, k=60))))
+    bench = spark.createDataFrame([(0, " ".join(few)), (1, " ".join(one))], "item_id long, text string")
+    df = spark.createDataFrame(docs, "doc_id long, text string")
+    assert {(r.doc_id, r.item_id) for r in decontaminate.leaks(df, bench).collect()} == {(1000, 0), (1001, 1)}
+    assert {r.doc_id for r in decontaminate.decontaminated(df, bench).collect()} == {d[0] for d in docs} - {1000, 1001}
+
+
 def test_common_length():
     def plain(a, b):
         t = [[0] * (len(b) + 1) for _ in range(len(a) + 1)]
