@@ -188,6 +188,14 @@ def common_length(a: list[int], b: list[int], where: dict[int, int] | None = Non
     return len(a) - row.bit_count()
 
 
+def lengths_up_to(longest: int) -> list[int]:
+    """The length classes, carried on by halves until the longest item has its own."""
+    out = list(LENGTHS)
+    while out[-1] < longest:
+        out.append(out[-1] * 3 // 2)
+    return out
+
+
 class Searcher:
     """Finds items of one block in batches of texts."""
 
@@ -207,8 +215,9 @@ class Searcher:
         self.where = [places(x.words) if len(x.words) <= KEPT else None for x in items]
         self.more = np.array([margin(x) for x in items])
         self.classes: dict[int, list[int]] = {}
+        lengths = lengths_up_to(max(len(x.words) for x in items))
         for i, x in enumerate(items):
-            self.classes.setdefault(min(LENGTHS, key=lambda n: abs(np.log(n / len(x.words)))), []).append(i)
+            self.classes.setdefault(min(lengths, key=lambda n: abs(np.log(n / len(x.words)))), []).append(i)
         feature = lambda x: np.array([w & (FEATURES - 1) for w in x.words])
         vectors = np.stack([self.table[feature(x)].sum(axis=0) for x in items])
         self.known = np.unique(np.array([w for x in items for w in x.words], dtype=np.uint64))

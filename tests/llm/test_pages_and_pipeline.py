@@ -104,6 +104,18 @@ def test_leaks_of_items_with_few_rare_words(spark):
     assert {r.doc_id for r in decontaminate.decontaminated(df, bench).collect()} == {d[0] for d in docs} - {1000, 1001}
 
 
+def test_leaks_of_long_items(spark):
+    r = random.Random(9)
+    vocabulary = ["".join(r.choice("abcdefghijklmnop") for _ in range(8)) for _ in range(9000)]
+    w = lambda n: [r.choice(vocabulary) for _ in range(n)]
+    item = w(5000)
+    docs = [(i, " ".join(w(300))) for i in range(40)]
+    docs += [(100, " ".join(w(700) + item + w(900))), (101, " ".join(item)), (102, " ".join(w(50) + [x if k % 6 else "changed" for k, x in enumerate(item)])), (103, " ".join(w(100) + item[:1500] + w(6000)))]
+    bench = spark.createDataFrame([(0, " ".join(item)), (1, " ".join(w(20)))], "item_id long, text string")
+    found = decontaminate.leaks(spark.createDataFrame(docs, "doc_id long, text string"), bench).collect()
+    assert {(x.doc_id, x.item_id) for x in found} == {(100, 0), (101, 0), (102, 0)}
+
+
 def test_common_length():
     def plain(a, b):
         t = [[0] * (len(b) + 1) for _ in range(len(a) + 1)]
