@@ -6,7 +6,7 @@ other: groups that both have are merged, groups that one lacks become optional,
 a repeated group. Equal expressions are merged once, and hosts are merged in two streaming levels, so a host with a third of
 all pages neither meets in one task nor is gathered. The host's wrapper says which path leads to the article; the slots
 below it, but for those of menus, notices, adverts, forms, comments and the like, give the page's text. A page on which the
-wrapper's path is missing is read by the same rules on its own.
+wrapper's path is missing is read by the same rules on its own. All nodes on the path give text, in the order of the page.
 
 Edge cases: null and empty html give the empty text; a null url is the host of no name; markup that is not closed or nested
 wrongly is closed as browsers do; repeated rows are extracted each; an empty table gives an empty result; other columns
@@ -235,7 +235,7 @@ def blocks(node: Node) -> list[str]:
 def main_text(source: str | None, path: list[str]) -> str:
     root = parse(source or "")
     found = along(root, path) or along(root, article_path(wrapper_of(root))) or [root]
-    return max(("\n".join(blocks(n)) for n in found), key=len)
+    return "\n".join(t for n in found for t in blocks(n))
 
 
 def with_host(pages: DataFrame) -> DataFrame:

@@ -31,6 +31,13 @@ def test_main_text(spark):
     assert html_main.extracted(df.limit(0)).count() == 0
 
 
+def test_all_parts_of_the_article_stay(spark):
+    parts = "<body><div class='content'><p>First part, the longer one</div><div class='advert'>Buy</div><div class='content'><p>Second</div></body>"
+    articles = "<main><article><p>One</article><aside>Side</aside><article><p>Two, which is longer</article></main>"
+    df = spark.createDataFrame([(1, "http://p.example/", parts), (2, "http://q.example/", articles)], "page_id long, url string, html string")
+    assert {r.page_id: r.text for r in html_main.extracted(df).collect()} == {1: "First part, the longer one\nSecond", 2: "One\nTwo, which is longer"}
+
+
 def test_wrappers_have_optional_and_repeated_groups(spark):
     a = html_main.wrapper_of(html_main.parse("<body><h1>t</h1><p>a<p>b<p>c</body>"))
     b = html_main.wrapper_of(html_main.parse("<body><p>a<hr></body>"))
