@@ -159,8 +159,9 @@ def page_counters(pages: DataFrame, least: int = 20) -> DataFrame:
 
 
 def media_path(document: Column, page: Column, content: Column, suffix: str = "png") -> Column:
-    """Place of a media file by the digest of its content (O-17)."""
-    return F.concat_ws("/", document, F.concat(F.lit("page_"), F.lpad(page.cast("string"), 3, "0")), F.concat(F.substring(F.md5(content), 1, 12), F.lit("." + suffix)))
+    """Place of a media file by the digest of its content (O-17); page numbers have three digits at least."""
+    number = page.cast("string")
+    return F.concat_ws("/", document, F.concat(F.lit("page_"), F.lpad(number, F.greatest(F.lit(3), F.length(number)), F.lit("0"))), F.concat(F.substring(F.md5(content), 1, 12), F.lit("." + suffix)))
 
 
 def routed(chunks: DataFrame) -> DataFrame:

@@ -302,3 +302,12 @@ def test_overrides():
     assert V.overrides("a=false, b=.35,c=x,d=7") == {"a": False, "b": 0.35, "c": "x", "d": 7} and V.overrides("") == {}
     with pytest.raises(ValueError):
         V.overrides("a")
+
+
+def test_media_paths_of_all_documents(spark, tmp_path):
+    from granary.plans.ingestion import query
+
+    rows = [(1, "a", "x"), (6000, "a", "x"), (59_999, "a", "x"), (60_000, "a", "x"), (600_000, "a", "x")]
+    spark.createDataFrame(rows, "doc_id long, source string, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = {r.doc_id: r.path.split("/")[1] for r in query.queries["media_paths"](spark, str(tmp_path)).collect()}
+    assert got == {1: "page_000", 6000: "page_100", 59_999: "page_999", 60_000: "page_1000", 600_000: "page_10000"}
