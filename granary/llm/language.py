@@ -4,7 +4,7 @@ Four kinds of evidence are fused for each page: the likelihood of its text under
 language that its markup declares, the suffix of its address, and a prior of its host. How far declarations and suffixes can
 be trusted and what a host's priors are is computed by grouped aggregation over all pages of the texts' posteriors:
 P(declared | language), and P(language | host) smoothed towards P(language | address suffix) and that towards P(language),
-with STRENGTH pages' weight each. The text model is fitted on a bounded sample, PER_LANGUAGE documents of each.
+with STRENGTH pages' weight each. The text model is fitted on a bounded sample, PER_LANGUAGE documents of each language that occurs.
 
 Edge cases: null or empty html leaves the other evidence to decide; no declaration and no suffix are values of their own; a
 null url has the host and suffix of no name; without labelled documents the language is null with confidence 0; repeated
@@ -27,8 +27,8 @@ from . import kernels as K
 from .common import cut, in_arrow, texts
 from .html_main import with_host
 
-#: Bounds of the training sample: languages, and documents of each.
-LANGUAGES, PER_LANGUAGE = 64, 200
+#: Documents of each language in the training sample.
+PER_LANGUAGE = 200
 GRAMS = 1 << 15
 STRENGTH, FLOOR, TEMPER, CONTEXT = 10.0, 0.5, 0.25, 200.0
 HIDDEN = re.compile(r"<!--.*?-->|<(script|style|head|nav|footer|template)\b.*?</\1\s*>", re.S | re.I)
@@ -48,7 +48,7 @@ def grams(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray
 def fit(docs: DataFrame) -> tuple[list[str], np.ndarray]:
     """The languages, and the log probability of each gram in each."""
     known = docs.select("doc_id", F.col("lang").cast("string").alias("lang")).where("lang IS NOT NULL AND lang <> ''")
-    names = sorted(r["lang"] for r in known.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(LANGUAGES).collect())
+    names = sorted(r["lang"] for r in known.groupBy("lang").count().collect())
     counts = np.full((max(len(names), 1), GRAMS), 0.2)
     if names:
         picked = reduce(DataFrame.unionByName, [known.where(F.col("lang") == n).orderBy(F.xxhash64("doc_id"), "doc_id").limit(PER_LANGUAGE) for n in names])

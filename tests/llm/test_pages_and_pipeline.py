@@ -64,6 +64,17 @@ def test_languages(spark):
     assert {r.lang for r in language.identify(spark.createDataFrame(rows, empty.schema), docs.limit(0)).collect()} == {None}
 
 
+def test_rare_languages_beyond_64(spark):
+    r = random.Random(2)
+    code = lambda k: chr(97 + k // 26) + chr(97 + k % 26)
+    stock = [["".join(r.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(7)) for _ in range(6)] for _ in range(70)]
+    prose = lambda k: " ".join(r.choices(stock[k], k=40))
+    docs = spark.createDataFrame([(4 * k + i, prose(k), code(k)) for k in range(70) for i in range(3 if k < 66 else 1)], "doc_id long, text string, lang string")
+    pages = [(k, f"http://{code(k)}.example/", f"<p>{prose(k)}</p>") for k in (0, 30, 65, 66, 69)]
+    got = language.identify(spark.createDataFrame(pages, "page_id long, url string, html string"), docs).collect()
+    assert {x.page_id: x.lang for x in got} == {k: code(k) for k in (0, 30, 65, 66, 69)}
+
+
 def test_leaks_and_paraphrases(spark):
     r = random.Random(7)
     vocabulary = ["".join(r.choice("abcdefghijklmnop") for _ in range(r.randint(2, 9))) for _ in range(3000)]
