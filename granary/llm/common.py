@@ -4,14 +4,14 @@ from __future__ import annotations
 
 import tempfile
 import uuid
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Rows of one Arrow batch; with whole texts in them, batches of the default size would not be bounded in bytes.
-BATCH_ROWS = 500
+#: Rows and bytes of what kernels are given at once.
+BATCH_ROWS, BATCH_BYTES = 500, 8 << 20
 #: Name of this driver's part of the shared folder.
 RUN = uuid.uuid4().hex
 
@@ -21,9 +21,12 @@ def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share (spark.checkpoint.dir). Where it is unset, as in tests, a temporary one."""
+    """The folder that driver and executors share (spark.checkpoint.dir). Where it is unset, one of this machine's, which only a
+    local session may use, as in tests; on a cluster it must be set."""
     where = spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("spark.granary.shared.dir", None)
     if not where:
+        if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         where = "file://" + tempfile.mkdtemp(prefix="granary-")
         spark.conf.set("spark.granary.shared.dir", where)
     return where.rstrip("/")
@@ -48,13 +51,17 @@ def cut(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def small_batches(spark: SparkSession) -> None:
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
+def sliced(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Batches in slices of about BATCH_ROWS rows and BATCH_BYTES bytes at most (one row at least). Spark bounds the bytes of the
+    batches that it sends; the slices bound what kernels hold for each of them, whatever the session's settings."""
+    for b in batches:
+        step = max(1, min(BATCH_ROWS, b.num_rows * BATCH_BYTES // max(1, b.nbytes)))
+        for i in range(0, b.num_rows, step):
+            yield b.slice(i, step)
 
 
 def in_arrow(df: DataFrame, f: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: str) -> DataFrame:
-    small_batches(df.sparkSession)
-    return df.mapInArrow(f, schema)
+    return df.mapInArrow(lambda batches: f(sliced(batches)), schema)
 
 
 def texts(docs: DataFrame, *more: str) -> DataFrame:

@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import kernels as K
-from .common import in_arrow, texts
+from .common import in_arrow, sliced, texts
 from .labelled import held_out, sample
 
 #: Bound of the training sample: rows of each class.
@@ -321,6 +321,7 @@ def clean(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS) -> Dat
 
     @F.pandas_udf("double")
     def score(column: pd.Series) -> pd.Series:
-        return pd.Series(net.scores(*K.flat(pa.array(column, pa.string(), from_pandas=True))))
+        rows = pa.RecordBatch.from_arrays([pa.array(column, pa.string(), from_pandas=True)], ["text"])
+        return pd.Series(np.concatenate([np.zeros(0), *(net.scores(*K.flat(b["text"])) for b in sliced([rows]))]))
 
     return docs.where(score(F.col("text").cast("string")) < THRESHOLD)
