@@ -5,8 +5,8 @@ white space and case) and the digest of the tokenizer's file and version. Keys a
 misses one text per distinct digest is encoded; the new counts are appended to the cache, a Parquet table. Whole texts are
 shuffled only where a digest may repeat (see exact_dedup) or where the cache holds most rows.
 
-Edge cases: null text counts as empty, 0 tokens; repeated rows get the same count; an empty table gives an empty result
-and leaves the cache as it is; two runs that append the same digest leave two equal rows, read as one; other columns are
+Edge cases: null text counts as empty, 0 tokens; repeated rows and rows without a doc_id get the count of their text; an empty
+table gives an empty result and leaves the cache as it is; two runs that append the same digest leave two equal rows, read as one; other columns are
 not read.
 """
 
@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 
 from .bpe import vocabulary
 from .common import cut, in_arrow, scratch, texts
-from .exact_dedup import may_repeat, repeat_filter
+from .exact_dedup import HOT, attach, may_repeat, repeat_filter
 
 LIMIT = 4096
 CACHE = "digest string, tokenizer string, n_tokens long"
@@ -89,16 +89,21 @@ def token_counts(docs: DataFrame, cache: str | None = None, path: str | None = N
     keys = cut(rows.select("doc_id", F.octet_length("text").cast("long").alias("n_bytes"), "digest"), "keys")
     held = stored(spark, cache, tokenizer)
     missing = keys if held is None else keys.join(held, "digest", "left_anti")
-    words, n_cells = repeat_filter(missing, "digest")
-    flagged = may_repeat(rows, "digest", words, n_cells, "__repeats")
-    reps = may_repeat(missing, "digest", words, n_cells, "__repeats").where("__repeats").groupBy("digest").agg(F.min("doc_id").alias("doc_id"))
-    again = flagged.where("__repeats").join(reps, ["digest", "doc_id"], "left_semi").select("digest", "text")
-    alone = flagged.where("NOT __repeats").select("doc_id", "digest", "text")
+    blocks, n_cells = repeat_filter(missing, "digest")
+    flagged = may_repeat(rows, "digest", blocks, n_cells, "__repeats")
+    # Of each digest that may repeat the row of the smallest id, or, where no row has an id, all; then one of them.
+    reps = may_repeat(missing, "digest", blocks, n_cells, "__repeats").where("__repeats").groupBy("digest").agg(F.min("doc_id").alias("rep")).withColumnRenamed("digest", "rep_digest")
+    again = flagged.where("__repeats").join(reps, F.col("digest").eqNullSafe(F.col("rep_digest")) & F.col("doc_id").eqNullSafe(F.col("rep")), "left_semi").select("digest", "text")
+    alone = flagged.where("NOT __repeats").select("digest", "text")
     if held is not None:
-        alone = alone.join(missing.select("doc_id", "digest"), ["doc_id", "digest"], "left_semi")
-    todo = alone.select("digest", "text").unionByName(again.dropDuplicates(["digest"]))
+        alone = alone.join(missing.select("digest"), "digest", "left_semi")
+    todo = alone.unionByName(again.dropDuplicates(["digest"]))
     if missing.limit(1).count():
         counts_of(todo, path, tokenizer).write.mode("append").parquet(cache)
     held = stored(spark, cache, tokenizer)
-    out = keys.withColumn("n_tokens", F.lit(0).cast("long")) if held is None else keys.join(held, "digest", "left")
+    if held is None:
+        out = keys.withColumn("n_tokens", F.lit(0).cast("long"))
+    else:
+        sizes = keys.groupBy("digest").agg(F.count("*").alias("n")).where("n > 1").orderBy(F.desc("n"), "digest").limit(HOT)
+        out = attach(keys, cut(held.join(F.broadcast(sizes), "digest", "left"), "counts"), "digest", "n", "left").drop("n")
     return out.select("doc_id", "n_bytes", "n_tokens", (F.col("n_tokens") > limit).alias("over_limit"))

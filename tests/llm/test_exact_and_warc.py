@@ -29,7 +29,7 @@ def test_deduplicated_keeps_columns(spark):
 
 
 def test_a_full_filter_only_shuffles_more(spark, monkeypatch):
-    monkeypatch.setattr(exact_dedup, "MAX_CELLS", 1)
+    monkeypatch.setattr(exact_dedup, "MAX_BYTES", 1)
     monkeypatch.setattr(exact_dedup, "cells", lambda key, n: [exact_dedup.F.lit(0).cast("long")] * 2)
     df = spark.createDataFrame(DOCS, "doc_id long, text string")
     assert sum(r.kept for r in exact_dedup.groups(df).dropDuplicates(["doc_id"]).collect()) == 5
