@@ -99,7 +99,7 @@ def distinct_sets(h: np.ndarray, bounds: np.ndarray) -> list[np.ndarray]:
 def jumps(bins: int, seed: int = 7) -> np.ndarray:
     """For optimal densification: the bin that an empty bin tries at each attempt."""
     a = np.arange(64, dtype=np.uint64)[:, None] * np.uint64(1 << 20)
-    return (mix(a + np.arange(bins, dtype=np.uint64)[None, :] + np.uint64(seed) * GOLD) % np.uint64(bins)).astype(np.int64)
+    return (mix(a + np.arange(bins, dtype=np.uint64)[None, :] + np.array([seed], dtype=np.uint64) * GOLD) % np.uint64(bins)).astype(np.int64)
 
 
 def one_permutation(sets: list[np.ndarray], bins: int, table: np.ndarray) -> np.ndarray:

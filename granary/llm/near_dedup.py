@@ -8,11 +8,12 @@ different components: those are compared in blocks, first signature against sign
 signature allows the threshold, on full sets. Blocks are bounded and give members and links, never their pairs.
 
 Edge cases: null text counts as empty; a text without words has an empty set, n_shingles 0, and is linked with nothing; a
-text of one to four words is one shingle; repeated rows of one doc_id are linked through their sets; an empty table gives
-an empty result; other columns are not read.
+text of one to four words is one shingle; an empty table gives an empty result; other columns are not read. A row is linked through its own text:
+rows that repeat a doc_id or have none are linked as any others, each by its set, and not with one another for their id. The component_id is the
+smallest doc_id of the component, null if none of its rows has one; kept then is true for those rows.
 
 Recall: a pair of similarity 0.75 shares no bucket with probability (1 - 0.75 ** ROWS) ** BANDS, about 5e-6; the signature
-screen is SCREEN_SIGMAS standard errors below the threshold.
+screen is SCREEN_SIGMAS standard errors below the threshold, and left out for sets of fewer than SMALL shingles, which are compared exactly.
 """
 
 from __future__ import annotations
@@ -28,6 +29,7 @@ from pyspark.sql import functions as F
 
 from . import kernels as K
 from .common import cut, in_arrow, runs, texts
+from .exact_dedup import attach
 
 WORDS = 5
 #: Bins of a signature; the first BANDS * ROWS make the bands.
@@ -36,7 +38,7 @@ BINS, BANDS, ROWS = 256, 32, 4
 PERCENT = 75
 #: Members of a block in the comparison of what the stars leave open.
 BLOCK = 1024
-SCREEN_SIGMAS = 4.5
+SCREEN_SIGMAS, SMALL = 4.5, 64
 
 
 def shingle_sets(column) -> list[np.ndarray]:
@@ -46,6 +48,10 @@ def shingle_sets(column) -> list[np.ndarray]:
     return K.distinct_sets(*K.shingle_hashes(K.span_hashes(data, starts, ends), first, WORDS))
 
 
+def set_key(shingles: np.ndarray) -> bytes:
+    return xxhash.xxh3_128_digest(shingles.tobytes())
+
+
 def signed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     table = K.jumps(BINS)
     for b in batches:
@@ -56,12 +62,13 @@ def signed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays(
             [
                 b["doc_id"],
+                b["text_key"],
                 pa.array([len(s) for s in sets], pa.int64()),
-                pa.array([xxhash.xxh3_128_digest(s.tobytes()) for s in sets], pa.binary()),
+                pa.array([set_key(s) for s in sets], pa.binary()),
                 pa.array(list(bands), pa.list_(pa.int64())),
                 pa.array([r.tobytes() for r in low], pa.binary()),
             ],
-            ["doc_id", "n_shingles", "set_key", "bands", "sig"],
+            ["doc_id", "text_key", "n_shingles", "set_key", "bands", "sig"],
         )
 
 
@@ -71,7 +78,8 @@ def mixed16(sig: np.ndarray) -> np.ndarray:
 
 def with_sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in batches:
-        yield pa.RecordBatch.from_arrays([b["doc_id"], pa.array([s.tobytes() for s in shingle_sets(b["text"])], pa.binary())], ["id", "shingles"])
+        sets = shingle_sets(b["text"])
+        yield pa.RecordBatch.from_arrays([pa.array([set_key(s) for s in sets], pa.binary()), pa.array([s.tobytes() for s in sets], pa.binary())], ["set_key", "shingles"])
 
 
 def linked(a: np.ndarray, b: np.ndarray) -> bool:
@@ -102,7 +110,7 @@ def block_pairs(t: pa.Table) -> Iterator[tuple[int, np.ndarray]]:
             y = right[(comp[right] != comp[x]) & ((ids[right] > ids[x]) if low[i] == high[i] else True)]
             y = y[100 * np.minimum(size[y], size[x]) >= PERCENT * np.maximum(size[y], size[x])]
             if len(y):
-                y = y[(sig[y] == sig[x]).sum(axis=1) >= least]
+                y = y[(np.minimum(size[y], size[x]) < SMALL) | ((sig[y] == sig[x]).sum(axis=1) >= least)]
             if len(y):
                 same = bands[y] == bands[x]
                 y = y[bands[x][same.argmax(axis=1)] == key[i]]
@@ -132,10 +140,20 @@ def linked_in_blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBat
             return x
 
         out = []
+        at = np.cumsum([0, *map(len, sets)])
+        number = np.unique(np.concatenate(sets), return_inverse=True)[1].ravel()
+        mark = np.zeros(len(number) + 1, dtype=np.int64)
         for x, ys in block_pairs(t):
-            for y in ys.tolist():
+            # How many shingles each of them shares with x.
+            mine = number[at[x] : at[x + 1]]
+            mark[mine] = 1
+            n = at[ys + 1] - at[ys]
+            first = np.cumsum(n) - n
+            both = np.add.reduceat(mark[number[np.arange(n.sum()) + np.repeat(at[ys] - first, n)]], first)
+            mark[mine] = 0
+            for y in ys[100 * both >= PERCENT * (len(mine) + n - both)].tolist():
                 a, b = find(comp[x]), find(comp[y])
-                if a != b and linked(sets[x], sets[y]):
+                if a != b:
                     root[max(a, b)] = min(a, b)
                     out.append((ids[x], ids[y]))
         yield pa.RecordBatch.from_arrays([pa.array([p[0] for p in out], pa.int64()), pa.array([p[1] for p in out], pa.int64())], ["a", "b"])
@@ -166,17 +184,21 @@ def components(links: DataFrame) -> DataFrame:
     return edges.select(F.col("u").alias("id"), F.col("v").alias("comp")).union(edges.select(F.col("v").alias("id"), F.col("v").alias("comp")).distinct())
 
 
-def near_duplicates(docs: DataFrame) -> DataFrame:
-    """doc_id, n_shingles, component_id, kept of every row of docs (doc_id, text)."""
-    rows = texts(docs)
-    signs = cut(in_arrow(rows, signed, "doc_id long, n_shingles long, set_key binary, bands array<long>, sig binary"), "signatures")
+def rows_with_components(docs: DataFrame) -> DataFrame:
+    """doc_id, text_key (a hash of the text), n_shingles, component_id, kept of every row of docs (doc_id, text)."""
+    rows = texts(docs, F.xxhash64(F.col("text").cast("string")).alias("text_key"))
+    signs = cut(in_arrow(rows, signed, "doc_id long, text_key long, n_shingles long, set_key binary, bands array<long>, sig binary"), "signatures")
     full = signs.where("n_shingles > 0")
-    reps = full.groupBy("set_key").agg(F.min("doc_id").alias("rep"), F.first("n_shingles").alias("n_shingles"), F.first("bands").alias("bands"), F.first("sig").alias("sig"))
-    reps = cut(reps, "representatives")
+    reps = full.groupBy("set_key").agg(F.min("doc_id").alias("doc_id"), F.count("*").alias("rows"), *(F.first(c).alias(c) for c in ("n_shingles", "bands", "sig")))
+    # A number for each distinct set; written at once, so it stays.
+    reps = cut(reps.withColumn("rep", F.monotonically_increasing_id()), "representatives")
     band = reps.select("rep", F.explode("bands").alias("key"))
     buckets = band.groupBy("key").agg(F.min("rep").alias("center"), F.count("*").alias("n")).where("n > 1")
     members = cut(band.join(buckets, "key"), "buckets")
-    sets = cut(in_arrow(rows.join(members.select(F.col("rep").alias("doc_id")).distinct(), "doc_id", "left_semi"), with_sets, "id long, shingles binary").dropDuplicates(["id"]), "sets")
+    inside = reps.join(members.select("rep").distinct(), "rep", "left_semi").select("rep", "doc_id", "set_key")
+    wanted = inside.select(F.col("doc_id").alias("wanted")).distinct()
+    found = in_arrow(rows.join(wanted, F.col("doc_id").eqNullSafe(F.col("wanted")), "left_semi").select("text"), with_sets, "set_key binary, shingles binary")
+    sets = cut(found.groupBy("set_key").agg(F.first("shingles").alias("shingles")).join(inside.select("set_key", F.col("rep").alias("id")), "set_key").select("id", "shingles"), "sets")
     stars = members.where("rep <> center").select(F.col("center").alias("a"), F.col("rep").alias("b")).distinct()
     links = cut(confirm(stars, sets), "links")
     comps = cut(components(links), "components")
@@ -192,6 +214,22 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     more = cut(in_arrow(grouped(near), linked_in_blocks, "a long, b long"), "links")
     if more.limit(1).count():
         comps = cut(components(links.union(more)), "components")
-    named = reps.select("set_key", "rep").join(comps.withColumnRenamed("id", "rep"), "rep", "left").select("set_key", F.coalesce("comp", "rep").alias("comp"))
-    out = signs.select("doc_id", "n_shingles", "set_key").join(named, "set_key", "left")
-    return out.select("doc_id", "n_shingles", F.coalesce(F.when(F.col("n_shingles") > 0, F.col("comp")), F.col("doc_id")).alias("component_id")).withColumn("kept", F.col("doc_id") == F.col("component_id"))
+    named = reps.select("set_key", "rep", "doc_id", "rows").join(comps.withColumnRenamed("id", "rep"), "rep", "left").withColumn("comp", F.coalesce("comp", "rep")).drop("rep")
+    named = cut(named, "named")
+    least = cut(named.groupBy("comp").agg(F.min("doc_id").alias("component_id"), F.count("*").alias("n")), "least")
+    named = cut(attach(named.drop("doc_id"), least, "comp", "n").select("set_key", "component_id", "rows"), "names")
+    out = attach(signs.select("doc_id", "text_key", "n_shingles", "set_key"), named, "set_key", "rows", "left")
+    out = out.withColumn("component_id", F.when(F.col("n_shingles") > 0, F.col("component_id")).otherwise(F.col("doc_id")))
+    return out.select("doc_id", "text_key", "n_shingles", "component_id").withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
+
+
+def near_duplicates(docs: DataFrame) -> DataFrame:
+    """doc_id, n_shingles, component_id, kept of every row of docs (doc_id, text)."""
+    return rows_with_components(docs).select("doc_id", "n_shingles", "component_id", "kept")
+
+
+def deduplicated(docs: DataFrame) -> DataFrame:
+    """The rows of docs, with all their columns, that stand for their group of near duplicates."""
+    gone = rows_with_components(docs).where("NOT kept").select(F.col("doc_id").alias("__gone"), F.col("text_key").alias("__gone_text")).distinct()
+    same = F.col("doc_id").cast("long").eqNullSafe(F.col("__gone")) & (F.xxhash64(F.col("text").cast("string")) == F.col("__gone_text"))
+    return docs.join(gone, same, "left_anti")

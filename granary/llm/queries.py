@@ -57,5 +57,4 @@ ORACLES = {"op2_warc": warc.ORACLE, "op4_exact_dedup": exact_dedup.ORACLE}
 
 def kept_by_near_dedup(docs: DataFrame) -> DataFrame:
     """The rows of docs, with all their columns, that stand for their group of near duplicates."""
-    gone = near_dedup.near_duplicates(docs).where("NOT kept").select("doc_id")
-    return docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
+    return near_dedup.deduplicated(docs)
