@@ -8,8 +8,12 @@ characters are such that the units are certain; any other chunk is encoded whole
 words at a join are encoded together, and where that differs from their ids apart, more is encoded as one, at worst the
 whole text. Stores are bounded and drop what has not been met for longest, so memory is bounded too.
 
+Chunks are shared by all documents that a worker reads, not by a table of the whole corpus: to encode a chunk once in the
+corpus, the texts of all chunks and then the ids of all documents would have to be shuffled, which is about twice the
+input, to save the encoding of what is repeated; reuse() measures both shares for any table.
+
 Edge cases: null text counts as empty and gives no ids and an empty decoded text; special strings in a text are handled
-as the library does; repeated rows and ids are encoded each; an empty table gives an empty result; other columns are not
+as the library does; words and runs of white space may be of any length, and letters of several bytes at any place; repeated rows and ids are encoded each; an empty table gives an empty result; other columns are not
 read.
 """
 
@@ -183,7 +187,8 @@ class Encoder:
         self.encoded += len(missing)
         self.reused += sum(map(len, keys)) - len(missing)
         self.solve({k: chunk[k] for k in missing})
-        joins = [[(a[-200:].split()[-1:], b[:200].split()[:1]) for a, b in zip(p, p[1:], strict=False)] for p in pieces]
+        # One byte more than the longest word that is stored: a word that is cut short here is longer than that, and never decoded.
+        joins = [[(a.rstrip()[-LONGEST - 1 :].split()[-1:], b.lstrip()[: LONGEST + 1].split()[:1]) for a, b in zip(p, p[1:], strict=False)] for p in pieces]
         short = lambda a, b: bool(a and b) and len(a[0]) <= LONGEST and len(b[0]) <= LONGEST
         self.check({(a[0], b[0]) for js in joins for a, b in js if short(a, b)})
         out = []
@@ -219,3 +224,20 @@ def encoded(docs: DataFrame, path: str | None = None) -> DataFrame:
 def digests(docs: DataFrame, path: str | None = None) -> DataFrame:
     """doc_id, n_tokens, ids_sha256, decoded_sha256 of every row."""
     return encoded(docs, path).select("doc_id", F.expr("CAST(octet_length(ids) DIV 4 AS BIGINT)").alias("n_tokens"), F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
+
+
+def reuse(docs: DataFrame, path: str | None = None) -> DataFrame:
+    """One row: chunks of all texts, those that workers took from their stores, and those that the whole corpus has met before."""
+    path = path or vocabulary()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        enc = Encoder(path)
+        for b in batches:
+            data, offsets = K.flat(b["text"])
+            raw, before = data.tobytes(), enc.reused
+            keys = [xxhash.xxh3_128_digest(raw[x:y]) for p in enc.cut(data, offsets) for x, y in zip(p, p[1:], strict=False) if y > x]
+            enc.encode(data, offsets)
+            yield pa.RecordBatch.from_arrays([pa.array(keys, pa.binary()), pa.array(([enc.reused - before] + [0] * len(keys))[: len(keys)], pa.int64())], ["chunk", "reused"])
+
+    found = in_arrow(texts(docs), run, "chunk binary, reused long").groupBy("chunk").agg(F.count("*").alias("n"), F.sum("reused").alias("reused"))
+    return found.agg(F.sum("n").alias("chunks"), F.sum("reused").alias("reused_by_workers"), F.sum(F.col("n") - 1).alias("repeated_in_corpus"))

@@ -75,3 +75,40 @@ def test_counts_and_cache(spark):
     assert sorted(map(tuple, token_counts.token_counts(df, cache).collect())) == want
     assert spark.read.parquet(cache).count() == held
     assert token_counts.token_counts(df.limit(0), cache).count() == 0
+
+
+def test_long_white_space_and_letters_of_several_bytes():
+    from tokenizers import Tokenizer
+
+    t = Tokenizer.from_file(bpe.vocabulary())
+    t.no_truncation()
+    r = random.Random(6)
+    words = ["日本語のテキスト", "éàü" * 20, "ñ" * 33, "a" * 64, "b" * 65, "한국어", "x", "don't", "😀😀", "ß" * 32 + "s", "12", "İ"]
+    gap = lambda: r.choice([" ", "\n", " " * r.randint(60, 70), " " * r.randint(160, 210), "\t" * 64])
+    items = ["".join(r.choice(words) + gap() for _ in range(r.randint(1, 80))) for _ in range(300)]
+    items += [w + " " * k + "next word" for w in words for k in (1, 63, 64, 65, 129, 171, 199, 200, 201)]
+    for mask in (63, 1):
+        enc = bpe.Encoder(bpe.vocabulary(), mask)
+        for s, (ids, decoded) in zip(items, enc.encode(*kernels.flat(pa.array(items, pa.string()))), strict=True):
+            want = t.encode(s, add_special_tokens=False).ids
+            assert np.frombuffer(ids, "<u4").tolist() == want
+            assert decoded.decode() == t.decode(want, skip_special_tokens=False)
+
+
+def test_reuse_is_measured(spark):
+    shared = " ".join(f"word{i}" for i in range(600))
+    got = bpe.reuse(spark.createDataFrame([(i, shared) for i in range(10)], "doc_id long, text string").coalesce(2)).first()
+    assert got.repeated_in_corpus == got.chunks * 9 // 10 and 0 < got.reused_by_workers <= got.repeated_in_corpus
+
+
+def test_counts_of_rows_without_an_id(spark):
+    import sentencepiece
+
+    sp = sentencepiece.SentencePieceProcessor(model_file=bpe.vocabulary("piece_bpe_32k.model"))
+    items = [(None, "one text"), (None, "one text"), (None, "another"), (1, "third"), (None, "third"), (None, None), (2, "unique")]
+    df = spark.createDataFrame(items, "doc_id long, text string")
+    want = sorted(((i, len((s or "").encode()), len(sp.encode(s or "")), False) for i, s in items), key=str)
+    cache = scratch(spark, "cache")
+    assert sorted(map(tuple, token_counts.token_counts(df.where("doc_id = 1"), cache).collect())) == [w for w in want if w[0] == 1]
+    for _ in range(2):
+        assert sorted(map(tuple, token_counts.token_counts(df, cache).collect()), key=str) == want
