@@ -25,6 +25,7 @@ from pyspark.sql import functions as F
 
 from . import kernels as K
 from .common import cut, in_arrow, texts
+from .exact_dedup import attach
 from .html_main import with_host
 
 #: Documents of each language in the training sample.
@@ -94,18 +95,18 @@ def identify(pages: DataFrame, docs: DataFrame) -> DataFrame:
     e = cut(e, "evidence")
     sums = [F.sum(F.col("p")[i]).alias(f"p{i}") for i in range(k)]
     columns = [F.col(f"p{i}") for i in range(k)]
-    hosts = cut(e.groupBy("host", "suffix").agg(*sums), "hosts")
+    hosts = cut(e.groupBy("host", "suffix").agg(*sums, F.count("*").alias("pages")), "hosts")
     # One number for each language, so it is a literal; codes of two or three letters bound the table of declarations.
     sums_of_all = hosts.agg(*[F.sum(c) for c in columns]).first()
     all_p = F.array(*[F.lit(float(x or 0)) for x in sums_of_all])
     by_suffix = hosts.groupBy("suffix").agg(F.array(*[F.sum(c) for c in columns]).alias("suffix_p"))
     by_declared = F.broadcast(e.groupBy("declared").agg(F.array(*sums).alias("declared_p")))
     total = "aggregate({0}, 0D, (a, y) -> a + y)"
-    prior = hosts.select("host", "suffix", F.array(*columns).alias("host_p")).join(by_suffix, "suffix").withColumn("all_p", all_p)
+    prior = hosts.select("host", "suffix", "pages", F.array(*columns).alias("host_p")).join(by_suffix, "suffix").withColumn("all_p", all_p)
     prior = prior.withColumn("global_prior", F.expr(f"transform(all_p, x -> (x + 1) / ({total.format('all_p')} + {k}))"))
     prior = prior.withColumn("suffix_prior", F.expr(f"transform(suffix_p, (x, i) -> (x + {STRENGTH} * global_prior[i]) / ({total.format('suffix_p')} + {STRENGTH}))"))
-    prior = prior.withColumn("host_prior", F.expr(f"transform(host_p, (x, i) -> ln((x + {STRENGTH} * suffix_prior[i]) / ({total.format('host_p')} + {STRENGTH})))")).select("host", "host_prior")
-    out = e.join(prior, "host", "left").join(by_declared, "declared", "left").withColumn("all_p", all_p)
+    prior = prior.withColumn("host_prior", F.expr(f"transform(host_p, (x, i) -> ln((x + {STRENGTH} * suffix_prior[i]) / ({total.format('host_p')} + {STRENGTH})))")).select("host", "pages", "host_prior")
+    out = attach(e, cut(prior, "priors"), "host", "pages").join(by_declared, "declared", "left").withColumn("all_p", all_p)
     out = out.withColumn("declared_ll", F.expr(f"transform(declared_p, (x, i) -> ln((x + {FLOOR}) / (all_p[i] + {FLOOR} * {k})))"))
     out = out.withColumn("score", F.expr("transform(text_ll, (x, i) -> x + host_prior[i] + declared_ll[i])"))
     best = "array_position(score, array_max(score))"

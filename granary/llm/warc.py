@@ -2,13 +2,17 @@
 
 write() sorts the records by page_id into shards of about equal bytes whose bounds depend on the data only, writes each
 record as a gzip member with headers and digests made anew, rolls a shard's file at a compressed size, writes under a
-temporary name and renames at the end, and then commits a manifest of the files (a Parquet table). A task that runs again
-writes the same bytes to the same names, so lost executors and speculative tasks do no harm; files that the manifest does
-not name are not read. read() takes the manifest and gives the records back, digests checked.
+temporary name, renames at the end to a name that has the digest of the bytes, and then commits a manifest of the files (a
+Parquet table). A finished file is never deleted or overwritten: a task that runs again writes the same bytes, finds the name
+taken and drops its own, so lost executors and speculative tasks do no harm; files that the manifest does not name are not
+read. read() takes the manifest and gives the records back, digests checked.
 
-Edge cases: null html is an empty payload; a null url gives the target urn:page:<page_id>; a null page_id is written to
-the first shard without an id and is never referred to; rows that repeat a page_id are each written, as responses where
-that page_id is the smallest of its payload; an empty table gives a manifest without files. Other columns are not read.
+Shards have SHARD_BYTES, or more where there would be more than MOST_SHARDS: bounds are in every task's closure.
+
+Edge cases: null html is an empty payload; a null url gives the target urn:page:<page_id>; rows without a page_id are written
+without an id, dealt out over all shards by their digest, and never referred to; rows that repeat a page_id are each
+written, as responses where that page_id is the smallest of its payload; an empty table gives a manifest without files. Other
+columns are not read.
 """
 
 from __future__ import annotations
@@ -25,10 +29,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import cut, in_arrow, scratch
+from .exact_dedup import attach
 
 #: Records with equal payloads of at least so many bytes are revisits of the first.
 LEAST_REVISIT = 100
-SHARD_BYTES, FILE_BYTES = 32 << 20, 16 << 20
+SHARD_BYTES, FILE_BYTES, MOST_SHARDS = 32 << 20, 16 << 20, 100_000
 BINS, LEVEL = 4096, 5
 DATE = "2024-01-01T00:00:00Z"
 MANIFEST = "file string, shard int, seq int, records long, bytes long, sha256 string"
@@ -66,8 +71,10 @@ def plan(pages: DataFrame, shard_bytes: int = SHARD_BYTES) -> tuple[DataFrame, l
     facts = cut(pages.select(F.col("page_id").cast("long").alias("page_id"), F.octet_length(payload).cast("long").alias("payload_bytes"), F.sha2(payload, 256).alias("digest")), "payloads")
     large = facts.where((F.col("payload_bytes") >= LEAST_REVISIT) & F.col("page_id").isNotNull())
     first = large.groupBy("digest").agg(F.min("page_id").alias("refers_to"), F.count("*").alias("n")).where("n > 1")
-    refs = large.join(first, "digest").where(F.col("page_id") > F.col("refers_to")).select("page_id", "refers_to").dropDuplicates(["page_id"])
-    return refs, shard_bounds(facts.select("page_id", (F.col("payload_bytes") + 512).alias("payload_bytes")), shard_bytes)
+    refs = attach(large, cut(first, "first"), "digest", "n").where(F.col("page_id") > F.col("refers_to")).select("page_id", "refers_to").dropDuplicates(["page_id"])
+    sizes = facts.select("page_id", (F.col("payload_bytes") + 512).alias("payload_bytes"))
+    total = sizes.agg(F.sum("payload_bytes")).first()[0] or 0
+    return refs, shard_bounds(sizes, max(shard_bytes, -(-total // MOST_SHARDS)))
 
 
 def record(page_id: int | None, url: str | None, html: str | None, refers_to: int | None) -> bytes:
@@ -102,8 +109,11 @@ def write(pages: DataFrame, out: str, shard_bytes: int = SHARD_BYTES, file_bytes
 
     def placed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            ids = b["page_id"].fill_null(-(1 << 63)).to_numpy(zero_copy_only=False)
-            yield pa.RecordBatch.from_arrays([pa.array(np.searchsorted(edges, ids, side="right"), pa.int32()), *b.columns], ["shard", *b.schema.names])
+            ids = b["page_id"].fill_null(0).to_numpy(zero_copy_only=False)
+            shards = np.searchsorted(edges, ids, side="right")
+            for i in np.flatnonzero(b["page_id"].is_null().to_numpy(zero_copy_only=False)).tolist():
+                shards[i] = int(hashlib.sha256((b["html"][i].as_py() or "").encode()).hexdigest()[:12], 16) % (len(edges) + 1)
+            yield pa.RecordBatch.from_arrays([pa.array(shards, pa.int32()), *b.columns], ["shard", *b.schema.names])
 
     # References come as rows of their own, before their page's, so that whole pages are shuffled once.
     columns = {"page_id": "long", "url": "string", "html": "string", "refers_to": "long"}
@@ -113,7 +123,7 @@ def write(pages: DataFrame, out: str, shard_bytes: int = SHARD_BYTES, file_bytes
 
     def written(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         fs, root = pafs.FileSystem.from_uri(out)
-        fs.create_dir(root, recursive=True)
+        fs.create_dir(f"{root}/.tmp", recursive=True)
         shard = seq = -1
         stream = None
         done: list[tuple] = []
@@ -123,10 +133,12 @@ def write(pages: DataFrame, out: str, shard_bytes: int = SHARD_BYTES, file_bytes
             nonlocal stream
             if stream is not None:
                 stream.close()
-                name = f"part-{shard:06d}-{seq:05d}.warc.gz"
-                if fs.get_file_info(f"{root}/{name}").type != pafs.FileType.NotFound:
-                    fs.delete_file(f"{root}/{name}")
-                fs.move(temp, f"{root}/{name}")
+                # The name has the digest of the bytes: an attempt that runs again finds its own bytes under it, or nothing.
+                name = f"part-{shard:06d}-{seq:05d}-{sha.hexdigest()[:16]}.warc.gz"
+                if fs.get_file_info(f"{root}/{name}").type == pafs.FileType.NotFound:
+                    fs.move(temp, f"{root}/{name}")
+                else:
+                    fs.delete_file(temp)
                 done.append((name, shard, seq, count, size, sha.hexdigest()))
                 stream = None
 
@@ -141,7 +153,7 @@ def write(pages: DataFrame, out: str, shard_bytes: int = SHARD_BYTES, file_bytes
                     shard, seq = r["shard"], -1
                 if stream is None:
                     seq += 1
-                    temp, count, size, sha = f"{root}/.tmp-{shard}-{seq}-{uuid.uuid4().hex}", 0, 0, hashlib.sha256()
+                    temp, count, size, sha = f"{root}/.tmp/{shard}-{seq}-{uuid.uuid4().hex}", 0, 0, hashlib.sha256()
                     stream = fs.open_output_stream(temp, compression=None)
                 member = gzip.compress(record(r["page_id"], r["url"], r["html"], refers_to), LEVEL, mtime=0)
                 stream.write(member)
@@ -154,6 +166,9 @@ def write(pages: DataFrame, out: str, shard_bytes: int = SHARD_BYTES, file_bytes
 
     manifest_schema = pa.schema([("file", pa.string()), ("shard", pa.int32()), ("seq", pa.int32()), ("records", pa.int64()), ("bytes", pa.int64()), ("sha256", pa.string())])
     in_arrow(rows, written, MANIFEST).write.parquet(f"{out}/manifest")
+    fs, root = pafs.FileSystem.from_uri(out)
+    if fs.get_file_info(f"{root}/.tmp").type != pafs.FileType.NotFound:
+        fs.delete_dir(f"{root}/.tmp")  # what lost attempts have left
     return f"{out}/manifest"
 
 
