@@ -7,11 +7,16 @@ projects windows of every length class of the benchmark, at a stride of a third
 those whose cosine with an item is at least COSINE as candidates; words that no item has count as nothing in a window, and an
 item or a window whose words all are without a weight has no cosine and is a candidate with all. A candidate stands if the longest common
 subsequence of words has CERTAIN of the item's words, or LIKELY of them with ANSWER of its answer's (its last sentence), which holds for
-paraphrases; candidates around which fewer than LIKELY of the item's words occur at all are passed over before, which loses none.
+paraphrases; regions that hold fewer than LIKELY of the item's words in any order are passed over before, which loses none.
+
+Items of any length are found: the length classes go on to the longest item, and what an item needs is a share of its own words in
+a region of its own length. The subsequence is computed bit-parallel for all candidates of a length class at once, and one by one for items of more than
+64 * LIMBS words. Recall by kind and share of edits and by length is measured in tests/llm/test_leak_recall.py.
 
 Edge cases: null and empty texts match nothing; items without words are left out; items of the same id are matched each;
 repeated rows are matched each; an empty table of documents or of items gives an empty result; other columns are not read.
-The benchmark is searched in blocks of BLOCK items, so that what tasks hold of it is bounded.
+The benchmark is searched in blocks of BLOCK items, so that what tasks hold of it is bounded; very long texts are searched in
+overlapping spans.
 """
 
 from __future__ import annotations
@@ -23,17 +28,21 @@ from dataclasses import dataclass
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import kernels as K
-from .common import cut, in_arrow, texts
+from .common import cut, in_arrow, sliced, texts
 
 FEATURES, WIDTH, RANK, PASSAGE = 1 << 15, 40, 36, 48
 #: Features in more passages than this share of all and RARE more have no weight.
 COMMON, RARE = 0.04, 25
 COSINE, CERTAIN, LIKELY, ANSWER = 0.4, 0.7, 0.5, 0.6
-BLOCK, CHUNK_WORDS, CELLS, KEPT = 512, 40_000, 8_000_000, 256
+BLOCK, CHUNK_WORDS = 512, 40_000
+#: Words of the items that are compared together, 64-bit limbs of an item that is compared so, and regions at once.
+GROUP_WORDS, LIMBS, REGIONS = 16_000, 8, 1 << 16
+EVERY = np.uint64(0xFFFFFFFFFFFFFFFF)
 LENGTHS = [8, 12, 18, 27, 40, 60, 90, 135, 200, 300, 450, 675, 1000]
 
 
@@ -64,31 +73,40 @@ def passages(first: np.ndarray) -> np.ndarray:
 
 def accumulated(docs: DataFrame, f, width: int) -> np.ndarray:
     """Sum over all batches of f(tokens, total), which adds to a FEATURES x width array. Each task streams its rows and gives
-    one array in blocks of features; the blocks are summed as they stream in, so nothing grows with the rows. The tasks are
-    coalesced to a few for each core, which bounds the arrays that are shuffled by the cluster and not by the data."""
-    spark = docs.sparkSession
+    one array in blocks of features, as many bytes for each input split and so a small, fixed share of the input; the blocks are
+    summed in two levels, first in parts of the tasks and then together, so that no task reads what all others give."""
     per_block = 1024
+    kind = np.float32 if width > 2 else np.float64
+    schema = "block int, part int, sums binary"
+    parts = max(1, int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")) // 8)
+
+    def rows(held: dict[tuple[int, int], np.ndarray]) -> pa.RecordBatch:
+        keys = list(held)
+        return pa.RecordBatch.from_arrays([pa.array([k[0] for k in keys], pa.int32()), pa.array([k[1] for k in keys], pa.int32()), pa.array([held[k].tobytes() for k in keys], pa.binary())], ["block", "part", "sums"])
 
     def partial(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros((FEATURES, width), np.float64)
         for b in batches:
             f(tokens(*K.flat(b["text"])), total)
-        blocks = total.astype(np.float32 if width > 2 else np.float64).reshape(FEATURES // per_block, -1)
-        yield pa.RecordBatch.from_arrays([pa.array(range(len(blocks)), pa.int32()), pa.array([x.tobytes() for x in blocks], pa.binary())], ["block", "sums"])
+        part = TaskContext.get().partitionId() % parts
+        yield rows({(k, part): x for k, x in enumerate(total.reshape(FEATURES // per_block, -1).astype(kind)) if x.any()})
 
     def summed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: dict[int, np.ndarray] = {}
+        held: dict[tuple[int, int], np.ndarray] = {}
         for b in batches:
-            for k, v in zip(b["block"].to_pylist(), b["sums"].to_pylist(), strict=True):
-                x = np.frombuffer(v, np.float32 if width > 2 else np.float64).astype(np.float64)
-                held[k] = held[k] + x if k in held else x
-        yield pa.RecordBatch.from_arrays([pa.array(list(held), pa.int32()), pa.array([x.tobytes() for x in held.values()], pa.binary())], ["block", "sums"])
-
-    tasks = 2 * spark.sparkContext.defaultParallelism
-    parts = in_arrow(docs.select("text").coalesce(tasks), partial, "block int, sums binary").repartition("block")
+            for k, p, v in zip(b["block"].to_pylist(), b["part"].to_pylist(), b["sums"].to_pylist(), strict=True):
+                x = np.frombuffer(v, kind).astype(np.float64)
+                if (k, p) in held:
+                    held[k, p] += x
+                else:
+                    held[k, p] = x
+        yield rows({k: x.astype(kind) for k, x in held.items()})
+
+    found = in_arrow(in_arrow(docs.select("text"), partial, schema).repartition("block", "part"), summed, schema)
+    found = in_arrow(found.withColumn("part", F.lit(0)).repartition("block"), summed, schema)
     out = np.zeros((FEATURES // per_block, per_block * width))
-    for r in in_arrow(parts, summed, "block int, sums binary").collect():
-        out[r["block"]] = np.frombuffer(r["sums"], np.float64)
+    for r in found.collect():
+        out[r["block"]] = np.frombuffer(r["sums"], kind)
     return out.reshape(FEATURES, width)
 
 
@@ -123,7 +141,7 @@ def singular_space(docs: DataFrame, idf: np.ndarray) -> np.ndarray:
             new = np.concatenate([[True], pi[1:] != pi[:-1]])
             head, row = np.flatnonzero(new), np.cumsum(new) - 1
             z = np.add.reduceat(weighted[fi], head, axis=0) / np.add.reduceat(idf[fi] ** 2, head)[:, None]
-            order = np.argsort(fi, kind="stable")
+            order = np.argsort(fi.astype(np.uint16), kind="stable")
             fs = fi[order]
             runs = np.flatnonzero(np.concatenate([[True], fs[1:] != fs[:-1]]))
             total[fs[runs]] += np.add.reduceat(z[row[order]], runs, axis=0) * idf[fs[runs]][:, None]
@@ -136,7 +154,9 @@ def singular_space(docs: DataFrame, idf: np.ndarray) -> np.ndarray:
     e, v = np.linalg.eigh(core)
     e = np.maximum(e, 1e-9 * max(e.max(), 1e-12))
     u, s, _ = np.linalg.svd(y @ (v / np.sqrt(e)), full_matrices=False)
-    return (u[:, :RANK] / np.maximum(s[:RANK], 1e-9 * max(s[0], 1e-12))).astype(np.float32)
+    # A corpus of few or equal passages has fewer directions; what is left of the others is the shift, which must not be scaled up.
+    kept = s[:RANK] ** 2 > 2 * shift
+    return np.where(kept, u[:, :RANK] / np.where(kept, s[:RANK], 1), 0).astype(np.float32)
 
 
 @dataclass
@@ -196,108 +216,190 @@ def lengths_up_to(longest: int) -> list[int]:
     return out
 
 
+def spans(first: np.ndarray, most: int, overlap: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """First word, end and text of the spans that texts are searched in: whole texts, but for those of more than most + overlap
+    words, which are parted at every most words into spans that overlap by so many that any region lies whole in one."""
+    n = np.diff(first)
+    count = np.where(n > most + overlap, -(-(n - overlap) // most), 1)
+    text = np.repeat(np.arange(len(n)), count)
+    k = np.arange(len(text)) - np.repeat(np.cumsum(count) - count, count)
+    start = first[text] + k * most
+    return start, np.where(k == count[text] - 1, first[text + 1], start + most + overlap), text
+
+
+class Group:
+    """Items of one length class. Those of at most 64 * LIMBS words are compared with many regions at once: a word's places in
+    an item are bits of its row in `masks`, and the longest common subsequence is counted bit-parallel over all regions."""
+
+    def __init__(self, length: int, members: list[int], items: list[Item], vectors: np.ndarray, blank: np.ndarray, known: np.ndarray):
+        self.length, self.members = length, np.array(members)
+        mine = [items[i] for i in members]
+        self.vectors, self.blank = vectors[members], blank[members]
+        self.need = np.array([LIKELY * len(x.words) for x in mine])
+        self.size = np.array([len(x.words) for x in mine])
+        self.more = np.array([margin(x) for x in mine])
+        own = np.unique(np.array([w for x in mine for w in x.words], dtype=np.uint64))
+        #: Of each known word the row of `masks` or `counts`; row 0 is for words that no item of the group has.
+        self.slot = np.zeros(len(known), np.int32)
+        self.slot[np.searchsorted(known, own)] = np.arange(1, len(own) + 1)
+        self.limbs = -(-int(self.size.max()) // 64)
+        row = {w: k + 1 for k, w in enumerate(own.tolist())}
+        self.long = [[row[w] for w in x.words] for x in mine] if self.limbs > LIMBS else None
+        if self.long is None:
+            self.masks = np.zeros((len(mine), len(own) + 1, self.limbs), np.uint64)
+            for i, x in enumerate(mine):
+                for k, w in enumerate(x.words):
+                    self.masks[i, row[w], k // 64] |= np.uint64(1 << (k % 64))
+        else:
+            self.counts = np.stack([np.bincount(x, minlength=len(own) + 1) for x in self.long])
+            self.where = [places(x) for x in self.long]
+        self.has = ((self.masks != 0).any(axis=2) if self.long is None else self.counts > 0).T.astype(np.uint8)
+
+    def held(self, slots: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+        """At most how many words of each item the regions slots[start:end] hold (regions x items): sums over cells that cover them."""
+        width = max(1, self.length // 8)
+        cells = np.zeros((-(-len(slots) // width) + 1, len(self.members)), np.int32)
+        rows = self.has[np.concatenate([slots, np.zeros(-len(slots) % width, np.int32)])]
+        for k in range(width):
+            cells[1:] += rows[k::width]
+        np.cumsum(cells, axis=0, out=cells)
+        return cells[-(-end // width)] - cells[start // width]
+
+    def shares(self, slots: np.ndarray, start: np.ndarray, end: np.ndarray, item: np.ndarray) -> np.ndarray:
+        """Length of the longest common subsequence of each region slots[start:end] with its item; a length that is surely below
+        the item's need may be given as 0. Regions are sorted by item."""
+        if self.long is not None:
+            out = np.zeros(len(item), np.int64)
+            for k, (a, b, i) in enumerate(zip(start.tolist(), end.tolist(), item.tolist(), strict=True)):
+                found = slots[a:b]
+                if np.minimum(np.bincount(found, minlength=self.counts.shape[1])[1:], self.counts[i, 1:]).sum() >= self.need[i]:
+                    out[k] = common_length(self.long[i], found.tolist(), self.where[i])
+            return out
+        row = np.full((self.limbs, len(item)), EVERY, np.uint64)
+        flat = self.masks.reshape(-1, self.limbs)
+        base = item.astype(np.int64) * self.masks.shape[1]
+        # Longest regions first, so that those still running at a step are the first ones.
+        order = np.argsort(start - end, kind="stable")
+        start, base, size = start[order], base[order], (end - start)[order]
+        live = np.searchsorted(-size, -np.arange(size[0] if len(size) else 0), side="left")
+        for step, n in enumerate(live.tolist()):
+            mask = flat[base[:n] + slots[start[:n] + step]]
+            carry = None
+            for k in range(self.limbs):
+                r = row[k, :n]
+                u = r & mask[:, k]
+                total = r + u
+                over = total < r
+                if carry is not None:
+                    total += carry
+                    over |= total < carry
+                row[k, :n] = total | (r - u)
+                carry = over.astype(np.uint64)
+        out = np.empty(len(item), np.int64)
+        out[order] = (64 * self.limbs) - np.bitwise_count(row).sum(axis=0, dtype=np.int64)
+        return out
+
+
 class Searcher:
     """Finds items of one block in batches of texts."""
 
     def __init__(self, items: list[Item], idf: np.ndarray, space: np.ndarray):
         self.items = items
-        self.table = space * idf[:, None]
-        self.weighted = idf > 0
-        # What confirm accepts has LIKELY of an item's words, common ones too, in the region that it reads.
-        # A row of `has` for each upper 16 bits of a hash that items have, found by `row`; row 0 is for all others.
-        high = sorted({w >> 48 for x in items for w in x.words})
-        self.row = np.zeros(1 << 16, np.int32)
-        self.row[high] = np.arange(1, len(high) + 1)
-        self.has = np.zeros((len(high) + 1, len(items)), dtype=bool)
-        for i, x in enumerate(items):
-            self.has[self.row[[w >> 48 for w in x.words]], i] = True
-        self.need = np.array([LIKELY * len(x.words) for x in items])
-        self.where = [places(x.words) if len(x.words) <= KEPT else None for x in items]
-        self.more = np.array([margin(x) for x in items])
-        self.classes: dict[int, list[int]] = {}
+        feature = lambda words: (words & np.uint64(FEATURES - 1)).astype(np.int64)
+        table = space * idf[:, None]
+        vectors = np.stack([table[feature(np.array(x.words, dtype=np.uint64))].sum(axis=0) for x in items])
+        blank = np.linalg.norm(vectors, axis=1) <= 1e-9
+        vectors = (vectors / np.maximum(np.linalg.norm(vectors, axis=1), 1e-12)[:, None]).astype(np.float32)
+        self.known = np.unique(np.array([w for x in items for w in x.words], dtype=np.uint64))
+        self.table = table[feature(self.known)].astype(np.float32)
+        #: Whether items have a word of these upper 16 bits: most words of a text that no item has are told by it.
+        self.high = np.zeros(1 << 16, dtype=bool)
+        self.high[(self.known >> np.uint64(48)).astype(np.int64)] = True
+        classes: dict[int, list[int]] = {}
         lengths = lengths_up_to(max(len(x.words) for x in items))
         for i, x in enumerate(items):
-            self.classes.setdefault(min(lengths, key=lambda n: abs(np.log(n / len(x.words)))), []).append(i)
-        feature = lambda x: np.array([w & (FEATURES - 1) for w in x.words])
-        vectors = np.stack([self.table[feature(x)].sum(axis=0) for x in items])
-        self.known = np.unique(np.array([w for x in items for w in x.words], dtype=np.uint64))
-        self.blank = np.linalg.norm(vectors, axis=1) <= 1e-9
-        self.vectors = (vectors / np.maximum(np.linalg.norm(vectors, axis=1), 1e-12)[:, None]).astype(np.float32)
+            classes.setdefault(min(lengths, key=lambda n: abs(np.log(n / len(x.words)))), []).append(i)
+        self.groups = []
+        for length, members in sorted(classes.items()):
+            some = max(1, GROUP_WORDS // length)
+            self.groups += [Group(length, members[k : k + some], items, vectors, blank, self.known) for k in range(0, len(members), some)]
+        self.overlap = max(g.length + 2 * int(g.more.max()) for g in self.groups)
 
     def find(self, data: np.ndarray, offsets: np.ndarray) -> list[tuple[int, int, float, float, float]]:
         """(text, item_id, cosine, share of its words, share of its answer's words in sequence) for each text and item."""
         t = tokens(data, offsets)
         best: dict[tuple[int, int], tuple[float, float, float]] = {}
+        start, end, text = spans(t.first, CHUNK_WORDS, self.overlap)
+        total = np.concatenate([[0], np.cumsum(end - start)])
         a = 0
-        while a < len(offsets) - 1:
-            b = max(a + 1, int(np.searchsorted(t.first, t.first[a] + CHUNK_WORDS, side="right")) - 1)
-            self.chunk(t, a, min(b, len(offsets) - 1), best)
+        while a < len(text):
+            b = max(a + 1, int(np.searchsorted(total, total[a] + CHUNK_WORDS, side="right")) - 1)
+            self.chunk(t.hashes[start[a] : end[b - 1]], start[a:b] - start[a], end[a:b] - start[a], text[a:b], best)
             a = b
         return [(text, self.items[i].item_id, *v) for (text, i), v in sorted(best.items())]
 
-    def chunk(self, t: Tokens, a: int, b: int, best: dict) -> None:
-        first = t.first[a : b + 1]
-        h = t.hashes[first[0] : first[-1]]
-        first = first - first[0]
+    def chunk(self, h: np.ndarray, first: np.ndarray, last: np.ndarray, texts: np.ndarray, best: dict) -> None:
+        """Searches spans first..last of the words h."""
         if not len(h):
             return
-        # Sums of vectors up to each word; words that no item has and words without a weight add nothing and are passed over.
-        f = (h & np.uint64(FEATURES - 1)).astype(np.int32)
-        some = np.flatnonzero(self.weighted[f])
-        at = np.minimum(np.searchsorted(self.known, h[some]), len(self.known) - 1)
-        some = some[self.known[at] == h[some]]
-        total = np.concatenate([np.zeros((1, self.table.shape[1]), np.float32), np.cumsum(self.table[f[some]], axis=0, dtype=np.float32)])
-        upto = np.zeros(len(h) + 1, np.int64)
-        upto[some + 1] = 1
-        upto = np.cumsum(upto)
-        row = self.row[(h >> np.uint64(48)).astype(np.int32)]
-        tells = row > 0
-        told, telling = np.concatenate([[0], np.cumsum(tells)]), row[tells]
-        n = np.diff(first)
-        for length, members in self.classes.items():
-            stride = max(1, length // 3)
-            count = np.where(n > length, -(-(n - length) // stride) + 1, np.minimum(n, 1))
-            text = np.repeat(np.arange(len(n)), count)
-            k = np.arange(len(text)) - np.repeat(np.cumsum(count) - count, count)
-            start = first[text] + np.minimum(k * stride, np.maximum(n[text] - length, 0))
-            end = np.minimum(start + length, first[text + 1])
-            # A region with fewer words of any item than an item needs can't hold it.
-            wide = self.more[members].max()
-            held = told[np.minimum(end + wide, first[text + 1])] - told[np.maximum(start - wide, first[text])]
-            some = held >= self.need[members].min()
-            text, start, end = text[some], start[some], end[some]
-            v = total[upto[end]] - total[upto[start]]
+        # Places of the words that items have, which of them, and how many there are up to each word.
+        maybe = np.flatnonzero(self.high[(h >> np.uint64(48)).astype(np.int32)])
+        word = np.minimum(np.searchsorted(self.known, h[maybe]), len(self.known) - 1)
+        same = self.known[word] == h[maybe]
+        maybe, word = maybe[same], word[same]
+        if not len(word):
+            return
+        told = np.zeros(len(h) + 1, np.int64)
+        told[maybe + 1] = 1
+        told = np.cumsum(told)
+        # Sums of vectors up to each of them; words that no item has add nothing.
+        total = np.concatenate([np.zeros((1, self.table.shape[1]), np.float32), np.cumsum(self.table[word], axis=0, dtype=np.float32)])
+        n = last - first
+        for g in self.groups:
+            slots = g.slot[word]
+            own = slots > 0
+            slots, upto = slots[own], np.concatenate([[0], np.cumsum(own)])[told]
+            stride = max(1, g.length // 3)
+            count = np.where(n > g.length, -(-(n - g.length) // stride) + 1, np.minimum(n, 1))
+            span = np.repeat(np.arange(len(n)), count)
+            k = np.arange(len(span)) - np.repeat(np.cumsum(count) - count, count)
+            start = first[span] + np.minimum(k * stride, np.maximum(n[span] - g.length, 0))
+            end = np.minimum(start + g.length, last[span])
+            low, high = first[span], last[span]
+            # What is accepted has LIKELY of an item's words in the region that is read: with fewer words of any item it can't.
+            wide = int(g.more.max())
+            a, b = upto[np.maximum(start - wide, low)], upto[np.minimum(end + wide, high)]
+            some = b - a >= g.need.min()
+            span, start, end, low, high, a, b = (x[some] for x in (span, start, end, low, high, a, b))
+            if not len(span):
+                continue
+            v = total[told[end]] - total[told[start]]
             norm = np.sqrt(np.einsum("ij,ij->i", v, v))
             # A window without any word of weight has no cosine and is passed on as items without one are.
-            near = (v @ self.vectors[members].T >= COSINE * np.maximum(norm, 1e-12)[:, None]) | self.blank[members] | (norm <= 1e-9)[:, None]
-            low, high = first[text], first[text + 1]
-            some = max(1, CELLS // (len(telling) + 1))
-            for i in range(0, len(members), some):
-                hit, column = np.nonzero(near[:, i : i + some])
-                if not len(hit):
-                    continue
-                part = np.array(members[i : i + some])
-                item = part[column]
-                # Words up to each place that each item has.
-                upto_item = np.zeros((len(telling) + 1, len(part)), np.int32)
-                np.cumsum(self.has[:, part].astype(np.int32).take(telling, axis=0), axis=0, out=upto_item[1:])
-                more = self.more[item]
-                held = upto_item[told[np.minimum(end[hit] + more, high[hit])], column] - upto_item[told[np.maximum(start[hit] - more, low[hit])], column]
-                enough = held >= self.need[item]
-                for w, j in zip(hit[enough].tolist(), item[enough].tolist(), strict=True):
-                    self.confirm(h, first, int(text[w]), int(start[w]), int(end[w]), j, float(v[w] @ self.vectors[j] / max(norm[w], 1e-12)), a, best)
-
-    def confirm(self, h, first, text: int, start: int, end: int, j: int, cosine: float, a: int, best: dict) -> None:
+            near = (v @ g.vectors.T >= COSINE * np.maximum(norm, 1e-12)[:, None]) | g.blank | (norm <= 1e-9)[:, None]
+            near &= g.held(slots, a, b) >= g.need
+            hit, item = np.nonzero(near)
+            more = g.more[item]
+            a, b = upto[np.maximum(start[hit] - more, low[hit])], upto[np.minimum(end[hit] + more, high[hit])]
+            some = b - a >= g.need[item]
+            item, hit, a, b = item[some], hit[some], a[some], b[some]
+            for i in range(0, len(item), REGIONS):
+                part = slice(i, i + REGIONS)
+                common = g.shares(slots, a[part], b[part], item[part])
+                for j in np.flatnonzero(common >= g.need[item[part]]).tolist():
+                    w, m = int(hit[i + j]), int(item[i + j])
+                    region = h[max(low[w], start[w] - g.more[m]) : min(high[w], end[w] + g.more[m])].tolist()
+                    self.accept(int(texts[span[w]]), int(g.members[m]), float(v[w] @ g.vectors[m] / max(norm[w], 1e-12)), int(common[j]), region, best)
+
+    def accept(self, text: int, j: int, cosine: float, common: int, region: list[int], best: dict) -> None:
         item = self.items[j]
-        more = margin(item)
-        region = h[max(first[text], start - more) : min(first[text + 1], end + more)].tolist()
-        share = common_length(item.words, region, self.where[j], LIKELY * len(item.words)) / len(item.words)
-        if share < LIKELY:
+        share = common / len(item.words)
+        held = best.get((text, j), (0.0, 0.0, 0.0))
+        if (share, 1.0, 1.0) <= (*held[1:], held[0]):
             return
         answer = common_length(item.answer, region) / len(item.answer)
-        held = best.get((a + text, j), (0.0, 0.0, 0.0))
         if (share >= CERTAIN or answer >= ANSWER) and (share, answer, cosine) > (*held[1:], held[0]):
-            best[a + text, j] = (cosine, share, answer)
+            best[text, j] = (cosine, share, answer)
 
 
 def searchers(docs: DataFrame, benchmark: DataFrame) -> Iterator[Searcher]:
@@ -340,7 +442,10 @@ def holder(s: Searcher):
     @F.pandas_udf("boolean")
     def holds(column: pd.Series) -> pd.Series:
         flags = np.zeros(len(column), dtype=bool)
-        flags[[g[0] for g in s.find(*K.flat(pa.array(column, pa.string(), from_pandas=True)))]] = True
+        at = 0
+        for part in sliced([pa.RecordBatch.from_arrays([pa.array(column, pa.string(), from_pandas=True)], ["text"])]):
+            flags[[at + g[0] for g in s.find(*K.flat(part["text"]))]] = True
+            at += part.num_rows
         return pd.Series(flags)
 
     return holds
@@ -350,6 +455,5 @@ def decontaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """The rows of docs, with all their columns, that hold no item."""
     out = docs
     for s in searchers(docs, benchmark):
-
         out = out.where(~holder(s)(F.col("text").cast("string")))
     return out
