@@ -27,31 +27,37 @@ def with_images(box: Column, images: Column) -> Column:
     return F.array(edge(0, F.array_min), edge(1, F.array_min), edge(2, F.array_max), edge(3, F.array_max))
 
 
-def fitted(box: list[float], blocks: list[list[float]], largest: float = 0.9) -> list[float]:
-    """A figure's box moved so that it parts no text block: blocks that are mostly inside are taken in, others are left out on the side
-    where least is lost; each decision is on the box as it then is (O-63)."""
-    b = np.array(box, dtype=float)
-    limit = np.maximum(b[2:] - b[:2], 1e-9) * FOREIGN
-    plain = np.concatenate([np.maximum(b[:2] - MARGIN, 0), np.minimum(b[2:] + MARGIN, 1)])
-    now = plain.copy()
-    for t in np.array(blocks, dtype=float).reshape(-1, 4):
-        inside = np.maximum(np.minimum(now[2:], t[2:]) - np.maximum(now[:2], t[:2]), 0).prod() / max((t[2:] - t[:2]).prod(), 1e-9)
-        if not 0 < inside < 0.999:
-            continue
-        if inside >= BELONGS and not (t[2:] - t[:2] > limit).any():
-            now[:2], now[2:] = np.minimum(now[:2], t[:2]), np.maximum(now[2:], t[2:])
-            continue
-        cuts = {0: (t[2] - now[0], t[0] < now[0]), 2: (now[2] - t[0], t[2] > now[2]), 1: (t[3] - now[1], t[1] < now[1]), 3: (now[3] - t[1], t[3] > now[3])}
-        loss = [(v, k) for k, (v, out) in cuts.items() if out and v > 0]
-        if loss:
-            k = min(loss)[1]
-            now[k] = min(now[2 + k], t[2 + k]) if k < 2 else max(now[k - 2], t[k - 2])
+def fit_box(box: list[float], texts: list[list[float]], largest: float = 0.9) -> list[float]:
+    """A figure's box with a margin, moved so that it parts no text block (O-63). All blocks are judged at once by the box with its margin:
+    those that lie in it for BELONGS and are not much larger than the figure are taken in; each other one that it touches is left
+    out on the side where least of the box is lost. Where too little of the figure would stay, the box with its margin does."""
+    b, t = np.array(box, dtype=float), np.array(texts, dtype=float).reshape(-1, 4)
+    wide = np.concatenate([np.maximum(b[:2] - MARGIN, 0), np.minimum(b[2:] + MARGIN, 1)])
+    size = t[:, 2:] - t[:, :2]
+    common = np.maximum(np.minimum(wide[2:], t[:, 2:]) - np.maximum(wide[:2], t[:, :2]), 0)
+    share = common.prod(axis=1) / np.maximum(size.prod(axis=1), 1e-9)
+    parted = (share > 0) & (share < 0.999)
+    own = parted & (share >= BELONGS) & (size <= FOREIGN * (b[2:] - b[:2])).all(axis=1)
+    now = np.concatenate([np.vstack([wide, t[own]])[:, :2].min(axis=0), np.vstack([wide, t[own]])[:, 2:].max(axis=0)])
+    other = t[parted & ~own]
+    far = other[:, [2, 3, 0, 1]]
+    lost = (far - now) * [1, 1, -1, -1]
+    lost[((other - now) * [1, 1, -1, -1] >= 0) | (lost <= 0)] = np.inf
+    way = np.where(np.isfinite(lost).any(axis=1), lost.argmin(axis=1), -1) if len(other) else np.zeros(0, int)
+    for side, edge in ((k, far[way == k, k]) for k in range(4)):
+        if len(edge):
+            now[side] = max(now[side], edge.max()) if side < 2 else min(now[side], edge.min())
     area = np.maximum(now[2:] - now[:2], 0).prod()
-    if area < LEAST_AREA * max((b[2:] - b[:2]).prod(), 1e-9):
-        return plain.tolist()
+    if area < LEAST_AREA * (b[2:] - b[:2]).prod():
+        return wide.tolist()
     return [0.0, 0.0, 1.0, 1.0] if area > largest else np.clip(now, 0, 1).tolist()
 
 
+@F.pandas_udf(ArrayType(DoubleType()))
+def fitted(box: pd.Series, texts: pd.Series) -> pd.Series:
+    return pd.Series([None if b is None or any(x is None for x in b) else fit_box(list(b), [list(t) for t in (x if x is not None else [])]) for b, x in zip(box, texts, strict=True)])
+
+
 def gray(content: bytes, width: int, height: int) -> np.ndarray:
     return np.frombuffer(content, np.uint8)[: width * height].reshape(height, width)
 

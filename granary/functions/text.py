@@ -3,17 +3,15 @@ but indel_ratio, whose definition built-in functions can't express."""
 
 from __future__ import annotations
 
+import unicodedata
 from collections.abc import Iterator
+from functools import cache
 
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType
 
-# Letters with a mark of the languages in use, and the letters without.
-ACCENTED = "àáâãäåçèéêëìíîïñòóôõöùúûüýÿāăąćčďēęěğīłńňőŕřśšťūůűźżž"
-PLAIN = "aaaaaaceeeeiiiinooooouuuuyyaaaccdeeegilnnorrsstuuuzzz"
-
 # Units whose letters may be of either case, and one-letter units, which may not.
 MULTI_UNITS = r"m/s|VCA|VCC|VAC|VDC|kWh|kW|kHz|mA|HP|Hz|rpm|mm|cm|kg|°C|N-m|Nm|seg(?:undos)?|minutos"
 SINGLE_UNITS = r"A|V|W|%|m|g|h|s"
@@ -59,8 +57,27 @@ def squeezed(text: Column) -> Column:
 
 
 def unaccented(text: Column) -> Column:
-    """Lower case without marks."""
-    return F.translate(F.lower(text), ACCENTED, PLAIN)
+    """Lower case, compatible characters decomposed (NFKD) and marks left out. Characters that decompose to one are translated, those
+    that decompose to several replaced where a text has any."""
+    one, many, none = decompositions()
+    low = F.translate(F.lower(text), "".join(one) + none, "".join(one.values()))
+    mapping = F.str_to_map(F.lit("\x01".join(f"{k}\x02{v}" for k, v in many.items())), F.lit("\x01"), F.lit("\x02"))
+    spelt = F.array_join(F.transform(F.split(low, ""), lambda c: F.coalesce(F.try_element_at(mapping, c), c)), "")
+    return F.when(F.translate(low, "".join(many), "") != low, spelt).otherwise(low)
+
+
+@cache
+def decompositions() -> tuple[dict[str, str], dict[str, str], str]:
+    """Of the characters of the first plane but Hangul syllables, by what is left of their decomposition without marks: those that leave
+    one other character, those that leave several, and those that leave none."""
+    one, many, none = {}, {}, ""
+    for c in map(chr, (*range(0x80, 0xAC00), *range(0xE000, 0x10000))):
+        left = "".join(x for x in unicodedata.normalize("NFKD", c) if not unicodedata.combining(x)).lower()
+        if not left:
+            none += c
+        elif left != c == c.lower():
+            (one if len(left) == 1 else many)[c] = left
+    return one, many, none
 
 
 def normalised_question(text: Column) -> Column:

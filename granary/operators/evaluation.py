@@ -11,6 +11,8 @@ from granary.functions import text as X
 # Answers that are refusals, and the similarity from which an answer is one.
 REFUSALS = ["I don't know.", "None"]
 REFUSAL = 60
+#: Characters of all items up to which their grams are broadcast.
+MOST_BROADCAST = 4 << 20
 
 
 def gold_rank(results: DataFrame, items: DataFrame) -> DataFrame:
@@ -38,11 +40,12 @@ def compared(a: DataFrame, b: DataFrame, key: str, names: list[str]) -> DataFram
 
 def best_containment(items: DataFrame, chunks: DataFrame, least: float = 0.6, n: int = 5) -> DataFrame:
     """The chunk that has most of an item's character n-grams, if at least a share of them (O-133). An equality join on grams; counts
-    are combined before the shuffle. items: item_id, text; chunks: chunk_id, text."""
+    are combined before the shuffle. The items' grams are broadcast if their texts are small. items: item_id, text; chunks: chunk_id, text."""
     g = items.select("item_id", X.char_grams(F.col("text"), n).alias("g"))
     q = g.select("item_id", F.size("g").alias("total"), F.explode("g").alias("gram"))
     c = chunks.select("chunk_id", F.explode(X.char_grams(F.col("text"), n)).alias("gram"))
-    share = c.join(F.broadcast(q) if items.limit(5001).count() <= 5000 else q, "gram").groupBy("item_id", "chunk_id").agg((F.count("*") / F.first("total")).alias("share"))
+    size = items.agg(F.sum(F.length("text"))).first()[0] or 0
+    share = c.join(F.broadcast(q) if size <= MOST_BROADCAST else q, "gram").groupBy("item_id", "chunk_id").agg((F.count("*") / F.first("total")).alias("share"))
     w = Window.partitionBy("item_id").orderBy(F.desc("share"), F.asc("chunk_id"))
     return share.where(F.col("share") >= least).withColumn("__n", F.row_number().over(w)).where("__n = 1").select("item_id", "chunk_id", F.round("share", 6).alias("share"))
 

@@ -56,7 +56,7 @@ def with_entity_hits(first: DataFrame, queries: DataFrame, vectors: DataFrame, k
     that gates can let them in."""
     sim = F.round(V.cosine(V.as_doubles(F.col("vector")), V.as_doubles(F.col("__q"))), 6)
     q = queries.select("query_id", F.col(tag).alias("__tag"), F.col("vector").alias("__q"))
-    rows = vectors.join(F.broadcast(q), F.col(tag) == F.col("__tag")).withColumn("dense_similarity", sim).drop("vector", "__q", "__tag")
+    rows = vectors.join(q, F.col(tag) == F.col("__tag")).withColumn("dense_similarity", sim).drop("vector", "__q", "__tag")
     hits = ranked(rows, [F.desc("dense_similarity"), F.asc("doc_id")], k, "entity_rank")
     fresh = hits.join(first.select("query_id", "doc_id"), ["query_id", "doc_id"], "left_anti")
     return first.unionByName(fresh, allowMissingColumns=True)

@@ -48,7 +48,7 @@ def latest_nonempty_run(spark, sf):
     return S.latest_runs(e)
 
 
-@query("SELECT doc_id, source || '/page_' || lpad(CAST(doc_id // 60 AS VARCHAR), 3, '0') || '/' || substr(md5(text), 1, 12) || '.png' AS path FROM documents WHERE doc_id < 60000")
+@query("SELECT doc_id, source || '/page_' || lpad(CAST(doc_id // 60 AS VARCHAR), CAST(greatest(3, length(CAST(doc_id // 60 AS VARCHAR))) AS INT), '0') || '/' || substr(md5(text), 1, 12) || '.png' AS path FROM documents")
 def media_paths(spark, sf):
     d = read(spark, sf, "documents")
     return d.select("doc_id", S.media_path(F.col("source"), F.expr("doc_id DIV 60"), F.col("text")).alias("path"))
@@ -167,17 +167,17 @@ def completion_stub(spark, sf):
     return M.completed(read(spark, sf, "benchmark").select(F.col("item_id").alias("id"), F.col("text").alias("prompt")))
 
 
-@query(r"""WITH c AS (SELECT doc_id, 'chunk_' || doc_id AS cid, substr(text, 1, 30) AS t, lag('chunk_' || doc_id) OVER w AS p, lead('chunk_' || doc_id) OVER w AS n FROM documents WINDOW w AS (PARTITION BY source ORDER BY doc_id)),
- r AS (SELECT doc_id % 7 AS query_id, c.* FROM c WHERE doc_id % 9 = 0), h AS (SELECT query_id, cid FROM r), u AS (SELECT cid, t FROM c WHERE doc_id % 11 <> 0),
+@query(r"""WITH c AS (SELECT doc_id, 'chunk_' || doc_id AS cid, text AS t, lag('chunk_' || doc_id) OVER w AS p, lead('chunk_' || doc_id) OVER w AS n FROM documents WINDOW w AS (PARTITION BY source ORDER BY doc_id)),
+ r AS (SELECT doc_id % 7 AS query_id, c.* FROM c), h AS (SELECT query_id, cid FROM r), u AS (SELECT cid, t FROM c WHERE doc_id % 11 <> 0),
  j AS (SELECT r.*, a.t AS pt, b.t AS nt FROM r LEFT JOIN u a ON a.cid = r.p AND (r.query_id, r.p) NOT IN (SELECT query_id, cid FROM h) LEFT JOIN u b ON b.cid = r.n AND (r.query_id, r.n) NOT IN (SELECT query_id, cid FROM h))
  SELECT query_id, doc_id, CASE WHEN coalesce(pt, nt) IS NULL THEN t ELSE concat_ws(chr(10) || chr(10), '[CONTEXTO PREVIO]' || chr(10) || pt, '[CHUNK RELEVANTE]' || chr(10) || t, '[CONTEXTO SIGUIENTE]' || chr(10) || nt) END AS expanded FROM j""")
 def context_expand(spark, sf):
     from pyspark.sql import Window
 
     w = Window.partitionBy("source").orderBy("doc_id")
-    c = read(spark, sf, "documents").select("doc_id", F.concat(F.lit("chunk_"), F.col("doc_id").cast("string")).alias("chunk_id"), F.substring("text", 1, 30).alias("text"), "source")
+    c = read(spark, sf, "documents").select("doc_id", F.concat(F.lit("chunk_"), F.col("doc_id").cast("string")).alias("chunk_id"), "text", "source")
     c = c.withColumn("prev_chunk_id", F.lag("chunk_id").over(w)).withColumn("next_chunk_id", F.lead("chunk_id").over(w))
-    rows = c.where("doc_id % 9 = 0").select((F.col("doc_id") % 7).alias("query_id"), "doc_id", "chunk_id", "text")
+    rows = c.select((F.col("doc_id") % 7).alias("query_id"), "doc_id", "chunk_id", "text")
     out = R.expanded(rows, c.select("chunk_id", "prev_chunk_id", "next_chunk_id"), c.select("chunk_id", "text"), c.where("doc_id % 11 = 0").select("chunk_id"))
     return out.select("query_id", "doc_id", F.col("expanded_text").alias("expanded"))
 

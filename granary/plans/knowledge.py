@@ -352,11 +352,10 @@ def intent_routing(spark, sf):
     return V.routed(read(spark, sf, "events").select("event_id", kind.alias("intent"), (F.col("user_id") % 2 == 0).alias("has_history"))).select("event_id", "route")
 
 
-@query("""WITH r AS (SELECT user_id AS query_id, event_id AS position, event_type <> 'error' AND value > 20 AS valid FROM events WHERE event_id % 9 = 0), w AS (SELECT *, count(*) FILTER (valid) OVER (PARTITION BY query_id) AS n, row_number() OVER (PARTITION BY query_id ORDER BY position) AS i FROM r)
+@query("""WITH r AS (SELECT user_id AS query_id, event_id AS position, event_type <> 'error' AND value > 20 AS valid FROM events), w AS (SELECT *, count(*) FILTER (valid) OVER (PARTITION BY query_id) AS n, row_number() OVER (PARTITION BY query_id ORDER BY position) AS i FROM r)
  SELECT query_id, position, CASE WHEN n = 0 THEN 0 ELSE position END AS page FROM w WHERE valid OR n = 0 AND i = 1""")
 def answer_filter(spark, sf):
-    e = read(spark, sf, "events").where("event_id % 9 = 0")
-    r = e.select(F.col("user_id").alias("query_id"), F.col("event_id").alias("position"), ((F.col("event_type") != "error") & (F.col("value") > 20)).alias("valid"), F.lit("f").alias("file_name"), F.col("event_id").alias("page"), F.lit(1.0).alias("score"))
+    r = read(spark, sf, "events").select(F.col("user_id").alias("query_id"), F.col("event_id").alias("position"), ((F.col("event_type") != "error") & (F.col("value") > 20)).alias("valid"), F.lit("f").alias("file_name"), F.col("event_id").alias("page"), F.lit(1.0).alias("score"))
     return V.valid_answers(r).select("query_id", "position", "page")
 
 

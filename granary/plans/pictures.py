@@ -35,6 +35,14 @@ def box_with_images(spark, sf):
     return b.select("s_suppkey", F.round(e[0], 6).alias("x0"), F.round(e[3], 6).alias("y1"))
 
 
+@query()
+def box_fitted(spark, sf):
+    """Boxes against two text blocks each; the rule is tested against a plain version."""
+    b = boxes(spark, sf)
+    other = F.transform("b", lambda x: F.round(F.lit(0.9) - x, 6))
+    return b.select("s_suppkey", F.transform(I.fitted(F.col("a"), F.array("b", F.array(other[2], other[3], other[0], other[1]))), lambda x: F.round(x, 6)).alias("box"))
+
+
 @query()
 def blank_image_ink(spark, sf):
     """Vectors as images of eight by eight pixels."""

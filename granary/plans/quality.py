@@ -92,11 +92,16 @@ def diagram_label_validation(spark, sf):
     return rows.select("doc_id", fatal.alias("fatal"), warnings.alias("warnings"))
 
 
-@query(f"""WITH {CHUNKS}, s AS ({OCR}), w AS (SELECT unnest([CASE WHEN consonant_runs > 10 THEN 'consonant_runs' END, CASE WHEN symbol_runs > 10 THEN 'symbol_runs' END,
+#: Of every ninth chunk the vowels are lost, as a bad recognition loses them.
+DAMAGED = "CASE WHEN doc_id % 9 = 4 THEN regexp_replace(text, '[aeiouAEIOU]', '', 'g') ELSE text END"
+
+
+@query(f"""WITH {CHUNKS.replace('text AS original_chunk', DAMAGED + ' AS original_chunk')}, s AS ({OCR}), w AS (SELECT unnest([CASE WHEN consonant_runs > 10 THEN 'consonant_runs' END, CASE WHEN symbol_runs > 10 THEN 'symbol_runs' END,
  CASE WHEN specials / length(original_chunk) > 0.4 THEN 'specials' END, CASE WHEN words > 0 AND vowelless / words > 0.4 THEN 'vowelless' END]) AS warning
  FROM s JOIN chunks USING (doc_id) WHERE content_type IN ('text', 'superchunk') AND length(original_chunk) >= 20) SELECT warning, count(*) AS n FROM w WHERE warning IS NOT NULL GROUP BY 1""")
 def composite_warning_counts(spark, sf):
-    return Q.warning_counts(chunks(spark, sf).select(Q.ocr_warnings(F.col("original_chunk"), F.col("content_type")).alias("warnings")))
+    damaged = F.when(F.col("doc_id") % 9 == 4, F.regexp_replace("original_chunk", "[aeiouAEIOU]", "")).otherwise(F.col("original_chunk"))
+    return Q.warning_counts(chunks(spark, sf).withColumn("original_chunk", damaged).select(Q.ocr_warnings(F.col("original_chunk"), F.col("content_type")).alias("warnings")))
 
 
 METRICS = f"""b AS (SELECT file_name, content_type, page_num, length({STRIP}) AS l, length({STRIP}) >= 50 AND coalesce(TRY_CAST(confidence AS DOUBLE), 1.0) >= 0.3 AS ok,

@@ -24,10 +24,10 @@ def questions(spark, sf):
 
 
 def candidates(spark, sf, k: int = 40):
-    """Nearest vectors with what the later stages want: a text that parents share the beginning of, a rank of a text search for some."""
+    """Nearest vectors with what the later stages want: the whole text of their parent, a rank of a text search for some."""
     c = R.knn(questions(spark, sf), vectors(spark, sf), k)
     docs = read(spark, sf, "documents").select(F.col("doc_id").alias("parent"), "text")
-    c = c.join(docs, "parent", "left").withColumn("text", F.substring(F.coalesce("text", F.lit("")), F.lit(1), (F.col("doc_id") % 4 * 40 + 20).cast("int")))
+    c = c.join(docs, "parent", "left").withColumn("text", F.coalesce("text", F.lit("")))
     return c.select(
         "query_id", "doc_id", "parent", "file_name", "content_type", "dense_similarity", "dense_rank", "text", F.col("dense_rank").alias("arrival"),
         F.when(F.col("doc_id") % 6 == 0, F.col("dense_rank")).alias("bm25_rank"), (F.col("content_type") == "image").alias("has_media"), F.col("dense_similarity").alias("quality"),
@@ -45,7 +45,7 @@ def knn_sql(k: int, where: str = "true", name: str = "knn") -> str:
     return f"{name} AS (SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY dense_similarity DESC, doc_id) AS INT) AS dense_rank FROM sims WHERE {where} QUALIFY dense_rank <= {k})"
 
 
-CANDIDATES = f"""{VECTORS}, {SIMS}, {knn_sql(40)}, cands AS (SELECT query_id, k.doc_id, parent, file_name, content_type, dense_similarity, dense_rank, substr(coalesce(text, ''), 1, CAST(k.doc_id % 4 * 40 + 20 AS INT)) AS text,
+CANDIDATES = f"""{VECTORS}, {SIMS}, {knn_sql(40)}, cands AS (SELECT query_id, k.doc_id, parent, file_name, content_type, dense_similarity, dense_rank, coalesce(text, '') AS text,
   dense_rank AS arrival, CASE WHEN k.doc_id % 6 = 0 THEN dense_rank END AS bm25_rank, content_type = 'image' AS has_media, dense_similarity AS quality,
   CASE WHEN content_type = 'synthetic_question' THEN 'question ' || k.doc_id END AS question FROM knn k LEFT JOIN documents d ON d.doc_id = k.parent)"""
 KEYS = ("query_id", "doc_id", "dense_similarity")
@@ -119,10 +119,9 @@ def metadata_filter(spark, sf):
     return candidates(spark, sf).where(R.metadata_filter({"file_name": ["file_1", "file_3"], "content_type": "text"})).select("query_id", "doc_id")
 
 
-@query(f"WITH {CANDIDATES} SELECT query_id, doc_id FROM cands QUALIFY substr(text, 1, 20) = '' OR row_number() OVER (PARTITION BY query_id, substr(text, 1, 20) ORDER BY dense_similarity DESC, doc_id) = 1")
+@query(f"WITH {CANDIDATES} SELECT query_id, doc_id FROM cands QUALIFY substr(text, 1, 150) = '' OR row_number() OVER (PARTITION BY query_id, substr(text, 1, 150) ORDER BY dense_similarity DESC, doc_id) = 1")
 def prefix150_dedup(spark, sf):
-    """With the first 20 characters, which these texts share."""
-    return R.prefix_dedup(candidates(spark, sf), "dense_similarity", 20).select("query_id", "doc_id")
+    return R.prefix_dedup(candidates(spark, sf), "dense_similarity").select("query_id", "doc_id")
 
 
 @query(f"""WITH {CANDIDATES} SELECT query_id, doc_id, round(CASE WHEN doc_id % 5 = 0 THEN dense_similarity * 100 WHEN doc_id % 5 = 1 THEN 100 / (1 + exp(-(doc_id % 7 - 3 + 1.5) / 4)) WHEN dense_similarity > 0 THEN dense_similarity * 100 ELSE 1.0 / (60 + dense_rank) * 100 END, 6) AS score
@@ -170,10 +169,10 @@ def gate_absolute_sparse(spark, sf):
     return R.gate_absolute(candidates(spark, sf), sparse=True).select(*KEYS)
 
 
-@query(f"""WITH {CANDIDATES}, r AS (SELECT *, dense_similarity >= max(dense_similarity) OVER w - 0.15 OR bm25_rank IS NOT NULL AS ok, row_number() OVER (PARTITION BY query_id ORDER BY dense_similarity DESC, arrival, doc_id) AS n, count(*) OVER w AS t FROM cands WHERE doc_id % 7 <> 3 WINDOW w AS (PARTITION BY query_id)),
+@query(f"""WITH {CANDIDATES}, r AS (SELECT *, dense_similarity >= max(dense_similarity) OVER w - 0.15 OR bm25_rank IS NOT NULL AS ok, row_number() OVER (PARTITION BY query_id ORDER BY dense_similarity DESC, arrival, doc_id) AS n, count(*) OVER w AS t FROM cands WINDOW w AS (PARTITION BY query_id)),
  e AS (SELECT *, count(*) FILTER (ok) OVER (PARTITION BY query_id) >= least(3, t) AS enough FROM r) SELECT query_id, doc_id, dense_similarity FROM e WHERE enough AND ok OR NOT enough AND n <= 3""")
 def gate_relative_floor(spark, sf):
-    return R.gate_relative(candidates(spark, sf).where("doc_id % 7 <> 3")).select(*KEYS)
+    return R.gate_relative(candidates(spark, sf)).select(*KEYS)
 
 
 @query(f"""WITH {CANDIDATES}, r AS (SELECT *, max(dense_similarity) OVER w AS best, first_value(file_name) OVER (PARTITION BY query_id ORDER BY dense_similarity DESC, arrival) AS f FROM cands WINDOW w AS (PARTITION BY query_id))

@@ -51,12 +51,13 @@ def content_words(spark, sf):
 
 
 @query(rf"""WITH b AS (SELECT item_id, trim(regexp_replace({UNACCENT.format('text')}, '\s+', ' ', 'g')) AS t FROM benchmark), w AS (SELECT item_id, list_filter(regexp_extract_all(t, '[a-z0-9áéíóúñ]{{3,}}'), lambda w: NOT list_contains({X.STOPWORDS!r}, w)) AS ws FROM b),
- d AS (SELECT doc_id, trim(regexp_replace({UNACCENT.format('text')}, '\s+', ' ', 'g')) AS t FROM documents WHERE doc_id % 10 = 0)
- SELECT doc_id, item_id, CASE WHEN len(ws) >= 2 THEN len(list_filter(ws, lambda x: contains(t, x))) / len(ws) >= 0.6 END AS present FROM d, w WHERE doc_id % 40 = item_id""")
+ d AS (SELECT doc_id, trim(regexp_replace({UNACCENT.format('text')}, '\s+', ' ', 'g')) AS t FROM documents), n AS (SELECT max(item_id) + 1 AS n FROM benchmark)
+ SELECT doc_id, item_id, CASE WHEN len(ws) >= 2 THEN len(list_filter(ws, lambda x: contains(t, x))) / len(ws) >= 0.6 END AS present FROM d, n JOIN w ON doc_id % n = item_id""")
 def answer_presence(spark, sf):
-    """Each tenth document against the item of its number modulo 40."""
-    d = read(spark, sf, "documents").where("doc_id % 10 = 0").select("doc_id", (F.col("doc_id") % 40).alias("item_id"), F.array("text").alias("texts"))
+    """Every document against one item, and every item against its share of the documents."""
     b = read(spark, sf, "benchmark").select("item_id", F.col("text").alias("key"))
+    n = F.broadcast(b.agg((F.max("item_id") + 1).alias("n")))
+    d = read(spark, sf, "documents").join(n).select("doc_id", (F.col("doc_id") % F.col("n")).alias("item_id"), F.array("text").alias("texts"))
     return d.join(b, "item_id").select("doc_id", "item_id", X.answer_present(F.col("key"), F.col("texts")).alias("present"))
 
 
@@ -90,9 +91,9 @@ def component_extraction(spark, sf):
     return read(spark, sf, "part").select("p_partkey", X.components(t).alias("components"))
 
 
-@query(r"""SELECT page_id, replace(replace(replace(replace(substr(html, 1, 400), '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), '"', '&quot;') AS safe FROM pages""")
+@query(r"""SELECT page_id, replace(replace(replace(replace(html, '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), '"', '&quot;') AS safe FROM pages""")
 def sanitise_text(spark, sf):
-    return read(spark, sf, "pages").select("page_id", X.sanitised(F.substring("html", 1, 400)).alias("safe"))
+    return read(spark, sf, "pages").select("page_id", X.sanitised(F.col("html")).alias("safe"))
 
 
 @query("SELECT event_id, json_extract_string(props, '$.k') AS k, try_cast(json_extract_string(props, '$.k') AS DOUBLE) AS k_number, strftime(ts, '%Y-%m-%d %H:%M:%S') AS at, strftime(ts, '%Y%m%d_%H%M%S') AS run_id FROM events")
@@ -329,12 +330,12 @@ def natural_order(spark, sf):
     return read(spark, sf, "part").select("p_partkey", F.row_number().over(Window.orderBy(k)).alias("place"))
 
 
-@query("""WITH c AS (SELECT conv_id, turn, CASE WHEN turn % 2 = 0 THEN 'Tabla de ' || substr(text, 1, 20) ELSE text END AS t FROM conversations)
+@query("""WITH c AS (SELECT conv_id, turn, CASE WHEN turn % 2 = 0 THEN 'Tabla de ' || text ELSE text END AS t FROM conversations)
  SELECT conv_id, turn, list_filter(coalesce(list(t) OVER (PARTITION BY conv_id ORDER BY turn ROWS BETWEEN 3 PRECEDING AND 1 PRECEDING), []), lambda x: length(x) < 200 AND regexp_matches(lower(x), 'tabla|especificaciones')) AS context FROM c""")
 def table_context(spark, sf):
     from pyspark.sql import Window
 
-    c = read(spark, sf, "conversations").withColumn("t", F.when(F.col("turn") % 2 == 0, F.concat(F.lit("Tabla de "), F.substring("text", 1, 20))).otherwise(F.col("text")))
+    c = read(spark, sf, "conversations").withColumn("t", F.when(F.col("turn") % 2 == 0, F.concat(F.lit("Tabla de "), "text")).otherwise(F.col("text")))
     w = Window.partitionBy("conv_id").orderBy("turn").rowsBetween(-3, -1)
     return c.select("conv_id", "turn", T.nearby_table_names(F.collect_list("t").over(w)).alias("context"))
 
