@@ -27,6 +27,10 @@ MAGNITUDE_UNITS = r"kV|kW|mA|Vca|Vcc|Vac|Vdc|RPM|rpm|Nm|bar|HP|Hz|°C|Ω|V|A|W"
 NUMBERS = r"\d+(?:[.,]\d+)?(?:\s*/\s*\d+(?:[.,]\d+)?)*"
 MAGNITUDE = rf"(\b(?:{MAGNITUDE_UNITS}))\s*({NUMBERS})|({NUMBERS})\s*((?:{MAGNITUDE_UNITS})\b)"
 
+# Decimal numbers as DuckDB casts them.
+DIGITS = r"[0-9]+(?:_[0-9]+)*"
+DECIMAL = rf"\A[+-]?(?=\.?[0-9])(?:{DIGITS})?(?:\.(?:{DIGITS})?)?(?:[eE][+-]?{DIGITS})?[\t-\r ]*\z"
+
 # Patterns of electrical components and values.
 COMPONENT_PATTERNS = {
     "motor": r"\bmotor\b|\bM\d+\b",
@@ -206,6 +210,18 @@ def estimated_tokens(text: Column) -> Column:
     return F.ceil(F.length(F.coalesce(text, F.lit(""))) / 4).cast("long")
 
 
+def whole_number(text: Column) -> Column:
+    """A text as an INT, as DuckDB casts it: decimals and exponents too, rounded half away from zero, 0x and 0b, single _ between
+    digits, only ASCII white space around; null for all else and beyond 32 bits (O-149). Exact for texts of three characters; of
+    longer ones a dot after an exponent and a zero with an exponent beyond 37 are null here, and 18 places after the point are kept."""
+    t = F.regexp_replace(text, r"\A[\t-\r ]+", "")
+    bare = F.replace(t, F.lit("_"), F.lit(""))
+    based = lambda digit, most, base: F.conv(F.regexp_extract(bare, rf"\A0[a-zA-Z]0*({digit}{{1,{most}}})\z", 1), base, 10)
+    number = F.when(t.rlike(DECIMAL), F.round(bare.try_cast("decimal(38,18)"))).try_cast("int")
+    hexadecimal = F.when(t.rlike(r"\A0[xX][0-9a-fA-F]+(?:_[0-9a-fA-F]+)*\z"), based("[0-9a-fA-F]", 8, 16)).try_cast("int")
+    return F.coalesce(number, hexadecimal, F.when(t.rlike(r"\A0[bB][01]+(?:_[01]+)*\z"), based("[01]", 31, 2)).try_cast("int"))
+
+
 def cleaned_answer(text: Column) -> Column:
     """An answer without its leading label and without label lines (O-147)."""
     labelled = F.lower(text).rlike(r"^\n*(?:a\d?:*\.*|answer\d?:*\.*)")

@@ -111,7 +111,8 @@ def salvaged_json(spark, sf):
 
 @query("SELECT doc_id, CAST(ceil(length(text) / 4) AS BIGINT) AS tokens, coalesce(try_cast(substr(text, 1, 3) AS INT), 7) AS coerced FROM documents")
 def estimated_tokens(spark, sf):
-    return read(spark, sf, "documents").select("doc_id", X.estimated_tokens(F.col("text")).alias("tokens"), F.coalesce(F.substring("text", 1, 3).try_cast("int"), F.lit(7)).alias("coerced"))
+    tokens = F.when(F.col("text").isNotNull(), X.estimated_tokens(F.col("text")))  # the operator counts none in a missing text, the SQL says null
+    return read(spark, sf, "documents").select("doc_id", tokens.alias("tokens"), F.coalesce(X.whole_number(F.substring("text", 1, 3)), F.lit(7)).alias("coerced"))
 
 
 @query(rf"""WITH b AS (SELECT item_id, regexp_replace({UNACCENT.format('text')}, '[^a-z0-9]+', '', 'g') AS t FROM benchmark) SELECT item_id, len(list_distinct(list_transform(generate_series(1, length(t) - 4), lambda i: substr(t, i, 5)))) AS grams FROM b""")
